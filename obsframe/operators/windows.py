@@ -85,6 +85,14 @@ def _pcts(counts: Column, rows: Column) -> Column:
     return F.transform(counts, lambda c: F.coalesce(c * 100.0 / total, F.lit(0.0)))
 
 
+def _over(counts: str, total: Column) -> Column:
+    return F.transform(counts, lambda c: c / F.nullif(total, F.lit(0.0)))
+
+
+def _equals(values: str, k: int) -> Column:
+    return F.transform(values, lambda i: (i == k).cast("int"))
+
+
 def frequency_features(long: DataFrame, windows=(L.FREQUENCY_WINDOW,), counts: bool = True,
                        keys=SERIES) -> DataFrame:
     """Digit counts and percentages per window as 10-vectors."""
@@ -170,7 +178,7 @@ def recency_expansion(long: DataFrame, lookbacks=L.RECENCY_LOOKBACKS) -> DataFra
     for n in lookbacks:
         cols += [
             F.col(f"counts_{n}").alias(f"count_{n}"),
-            F.transform(f"counts_{n}", lambda c, n=n: c / float(n)).alias(f"rate_{n}"),
+            _over(f"counts_{n}", F.lit(float(n))).alias(f"rate_{n}"),
             _within(n).alias(f"last_{n}"),
             F.transform(f"counts_{n}", lambda c: (c > 0).cast("int")).alias(f"seen_{n}"),
         ]
@@ -240,7 +248,7 @@ def recency_buckets(long: DataFrame, bounds=L.BUCKET_BOUNDS) -> DataFrame:
         *IDS, "position", "bucket",
         F.transform("bucket", lambda i: F.get(labels, i)).alias("label"),
         *[
-            F.transform("bucket", lambda i, k=k: (i == k).cast("int")).alias(f"is_{k}")
+            _equals("bucket", k).alias(f"is_{k}")
             for k in range(len(bounds) + 2)
         ],
     )
@@ -408,9 +416,8 @@ def rolling_rates(long: DataFrame, windows=(3, 7, 14)) -> DataFrame:
         *IDS, "position",
         *[
             F.transform(
-                f"counts_{n}",
-                lambda c, n=n: F.round(F.coalesce(
-                    c / F.nullif(F.col(f"rows_{n}").cast("double"), F.lit(0.0)), F.lit(0.0)), 8),
+                _over(f"counts_{n}", F.col(f"rows_{n}").cast("double")),
+                lambda x: F.round(F.coalesce(x, F.lit(0.0)), 8),
             ).alias(f"rate_{n}")
             for n in windows
         ],

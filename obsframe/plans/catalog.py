@@ -58,73 +58,78 @@ class Tables:
         return to_long(self.obs, ("entity_id", "obs_date"))
 
     def codes(self, name: str) -> DataFrame:
+        """Codes that occur in the observations."""
         return self.obs.select(F.col(name).alias("code")).distinct()
 
-    @cached_property
-    def pair_member(self) -> DataFrame:
-        """Observed pairs; family = its two digits in order, inactive where their sum ends in 4 or 9."""
-        a, b = F.substring("code", 1, 1), F.substring("code", 2, 1)
-        low, high = F.least(a, b), F.greatest(a, b)
-        step = self.codes("pair").select(
-            F.concat(low, high).cast("int").alias("family_id"),
-            F.concat(F.lit("pair-"), low, high).alias("family_name"), "code",
-            F.lit(True).alias("is_active"),
-        )
-        return split_members(step, 2)
+    def all_codes(self, width: int) -> DataFrame:
+        """The whole code domain."""
+        return self.spark.range(10**width).select(F.lpad(F.col("id").cast("string"), width, "0").alias("code"))
 
     @cached_property
-    def pair_family(self) -> DataFrame:
-        total = F.col("digit_1") + F.col("digit_2")
-        return self.pair_member.groupBy("family_id").agg(
-            F.min("family_name").alias("family_name"),
-            F.max((total % 5 != 4).cast("int")).alias("a"),
-        ).select("family_id", "family_name", (F.col("a") == 1).alias("is_active"))
+    def pair_member(self) -> DataFrame:
+        return pair_members(self.codes("pair"))
 
     @cached_property
     def tail_member(self) -> DataFrame:
-        """Observed non-decreasing tails; family = digit sum mod 10, type by distinct digits."""
-        d = [F.substring("code", i, 1).cast("int") for i in (1, 2, 3)]
-        kinds = F.size(F.array_distinct(F.array(*d)))
-        step = (
-            self.codes("tail").where((d[0] <= d[1]) & (d[1] <= d[2]))
-            .select(
-                ((d[0] + d[1] + d[2]) % 10).alias("family_id"), "code",
-                F.when(kinds == 3, "single").when(kinds == 2, "double").otherwise("triple").alias("type"),
-                F.lit(True).alias("is_active"),
-            )
-            .withColumn("family_name", F.concat(F.lit("tail-"), F.col("family_id").cast("string")))
-        )
-        return split_members(step, 3)
+        return tail_members(self.codes("tail"))
 
     @cached_property
-    def tail_family(self) -> DataFrame:
-        return self.tail_member.groupBy("family_id").agg(
-            F.min("family_name").alias("family_name")
-        ).withColumn("is_active", F.col("family_id") != 9)
+    def dims(self) -> dict[str, DataFrame]:
+        """Lookup dimensions over the code domain (at most 1,000 rows each)."""
+        out = {}
+        for name, members, width in (
+            ("head", head_members, 3), ("pair", pair_members, 2), ("tail", tail_members, 3)
+        ):
+            m = members(self.all_codes(width))
+            families = m.select("family_id", "family_name", F.col("family_active").alias("is_active")).distinct()
+            out[name] = active_codes(m, families, width)
+        return out
+
+
+def _kinds(codes: DataFrame) -> tuple:
+    d = [F.substring("code", i, 1).cast("int") for i in (1, 2, 3)]
+    n = F.size(F.array_distinct(F.array(*d)))
+    return d, n, F.when(n == 3, "single").when(n == 2, "double").otherwise("triple")
+
+
+def pair_members(codes: DataFrame) -> DataFrame:
+    """Family = the two digits in order, inactive where their sum ends in 4 or 9."""
+    a, b = F.substring("code", 1, 1), F.substring("code", 2, 1)
+    name = F.concat(F.least(a, b), F.greatest(a, b))
+    return split_members(
+        codes.select(
+            name.cast("int").alias("family_id"), F.concat(F.lit("pair-"), name).alias("family_name"), "code",
+            F.lit(True).alias("is_active"), ((a.cast("int") + b.cast("int")) % 5 != 4).alias("family_active"),
+        ), 2,
+    )
 
-    @cached_property
-    def head_member(self) -> DataFrame:
-        """Observed heads; the family is the type, NULL for codes not in order."""
-        d = [F.substring("code", i, 1).cast("int") for i in (1, 2, 3)]
-        kinds = F.size(F.array_distinct(F.array(*d)))
-        step = self.codes("head").select(
-            kinds.alias("family_id"),
-            F.when((d[0] <= d[1]) & (d[1] <= d[2]),
-                   F.when(kinds == 3, "single").when(kinds == 2, "double").otherwise("triple"))
-            .alias("family_name"), "code", F.lit(True).alias("is_active"),
-        ).where("family_name is not null")
-        return split_members(step, 3)
 
-    @cached_property
-    def dims(self) -> dict[str, DataFrame]:
-        head = self.head_member.select("family_id", "family_name").distinct().withColumn(
-            "is_active", F.lit(True)
-        )
-        return {
-            "head": active_codes(self.head_member, head, 3),
-            "pair": active_codes(self.pair_member, self.pair_family, 2),
-            "tail": active_codes(self.tail_member, self.tail_family, 3),
-        }
+def tail_members(codes: DataFrame) -> DataFrame:
+    """Non-decreasing codes; family = digit sum mod 10, type by distinct digits."""
+    d, _, kind = _kinds(codes)
+    family = (d[0] + d[1] + d[2]) % 10
+    return split_members(
+        codes.where((d[0] <= d[1]) & (d[1] <= d[2])).select(
+            family.alias("family_id"), F.concat(F.lit("tail-"), family.cast("string")).alias("family_name"), "code",
+            kind.alias("type"), F.lit(True).alias("is_active"), (family != 9).alias("family_active"),
+        ), 3,
+    )
+
+
+def head_members(codes: DataFrame) -> DataFrame:
+    """Non-decreasing codes; the family is the type."""
+    d, n, kind = _kinds(codes)
+    return split_members(
+        codes.where((d[0] <= d[1]) & (d[1] <= d[2])).select(
+            n.alias("family_id"), kind.alias("family_name"), "code",
+            F.lit(True).alias("is_active"), F.lit(True).alias("family_active"),
+        ), 3,
+    )
+
+
+def _micro(x):
+    """Nearest millionth as a count, halves up."""
+    return F.floor(x * 1e6 + 0.5)
 
 
 def pack(df: DataFrame) -> DataFrame:
@@ -133,12 +138,12 @@ def pack(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
+            c = _micro(c.cast("double")) / 1e6
         elif isinstance(f.dataType, T.DateType):
             c = c.cast("string")
         elif isinstance(f.dataType, T.ArrayType):
             if isinstance(f.dataType.elementType, T.DoubleType):
-                c = F.transform(c, lambda x: F.round(x * 1e6).cast("bigint"))
+                c = F.transform(c, _micro)
             elif isinstance(f.dataType.elementType, T.ArrayType):
                 c = F.transform(c, lambda x: F.array_join(x, "", "NA"))
             c = F.array_join(c.cast("array<string>"), ",", "NA")
@@ -207,7 +212,7 @@ def q(select: str, *ctes: str) -> str:
 
 def r(expr: str, name: str) -> str:
     """Rounded double column of the SQL text."""
-    return f"round(CAST({expr} AS DOUBLE), 6) + 0.0 AS {name}"
+    return f"floor(CAST({expr} AS DOUBLE) * 1e6 + 0.5) / 1e6 AS {name}"
 
 
 def day(expr: str, name: str | None = None) -> str:
@@ -221,7 +226,7 @@ def ints(expr: str, name: str) -> str:
 def doubles(expr: str, name: str) -> str:
     return (
         f"array_to_string(list_transform({expr}, lambda v: "
-        f"coalesce(CAST(CAST(round(v * 1e6) AS BIGINT) AS VARCHAR), 'NA')), ',') AS {name}"
+        f"coalesce(CAST(CAST(floor(v * 1e6 + 0.5) AS BIGINT) AS VARCHAR), 'NA')), ',') AS {name}"
     )
 
 

@@ -123,7 +123,7 @@ register(
       FROM (SELECT position_a, position_b, n::DOUBLE AS n, sum(n) OVER (PARTITION BY position_a, position_b)::DOUBLE AS total, sum(n) OVER (PARTITION BY position_a, position_b, a)::DOUBLE AS rn,
       sum(n) OVER (PARTITION BY position_a, position_b, b)::DOUBLE AS cn FROM grid WHERE position_a < position_b) GROUP BY 1, 2""", JOINT),
 )
-ERFC = """CASE WHEN abs(z) / sqrt(2) > 6 THEN 0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 120), lambda k:
+ERFC = """CASE WHEN abs(z) / sqrt(2) > 4 THEN 0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 120), lambda k:
   CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END * exp((2 * k + 1) * ln(greatest(abs(z) / sqrt(2), 1e-300)) - lgamma(k + 1.0)) / (2 * k + 1))) END"""
 Z = "(n / n_obs - 0.1) / sqrt(0.09 / n_obs)"
 register(

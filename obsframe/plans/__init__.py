@@ -4,6 +4,7 @@ from obsframe.plans.catalog import ORACLES, QUERIES
 from obsframe.plans import (  # noqa: F401  (registration)
     features,
     observations,
+    rankings,
     series,
     statistics,
 )

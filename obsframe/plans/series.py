@@ -182,7 +182,7 @@ register(
     "k16_movement_summary", lambda t: D.movement_summary(era_overviews(t)),
     q(f"SELECT entity_id, count(*) AS n_transitions, count(*) FILTER (m < 2) AS n_low, count(*) FILTER (m >= 2 AND m < 5) AS n_medium, count(*) FILTER (m >= 5) AS n_high, {r('avg(m)', 'average_movement')}, {r('min(m)', 'min_movement')}, {r('max(m)', 'max_movement')}, {r('sum(m)', 'total_movement')} FROM (SELECT entity_id, {MV} AS m FROM stp WHERE stable_pct_change IS NOT NULL) GROUP BY 1", *ERAS, STEP),
 )
-METRICS = (*M3, "average_mean_abs", "total_abs")
+METRICS = (*M3, "n_stable", "n_unstable")
 DETAIL = ("stq AS (SELECT *, " + ", ".join(f"{m} - lag({m}) OVER (PARTITION BY entity_id ORDER BY era) AS {m}_change" for m in METRICS) + " FROM ov),\nsd AS ("
           + " UNION ALL ".join(f"SELECT entity_id, era, '{m}' AS metric, {m} AS value, {m}_change AS change FROM stq" for m in METRICS) + ")")
 

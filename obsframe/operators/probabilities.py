@@ -38,11 +38,13 @@ def markov_rows(long: DataFrame, order: int = 1, smoothing: float = 1.0, keys=SE
     All target dates in one pass: ten running counts per (series, context).
     """
     w = prior(history(*keys, "context"))
-    counts = F.array(*[F.count_if(F.col("value") == d).over(w) for d in range(DIGITS)])
-    return with_context(long, order, keys).select(
-        F.lit(name or f"markov{order}").alias("model"), *keys, "obs_date",
-        F.col("value").alias("target"), counts.alias("c"),
-    ).withColumn("probs", smooth(F.col("c"), smoothing)).drop("c")
+    step = with_context(long, order, keys).select(
+        *keys, "obs_date", F.col("value").alias("target"), F.count("*").over(w).alias("_n"),
+        *[F.count_if(F.col("value") == d).over(w).alias(f"_c{d}") for d in range(DIGITS)],
+    )
+    total = F.col("_n") + smoothing * DIGITS
+    probs = F.array(*[(F.col(f"_c{d}") + smoothing) / total for d in range(DIGITS)])
+    return step.select(F.lit(name or f"markov{order}").alias("model"), *keys, "obs_date", "target", probs.alias("probs"))
 
 
 def markov_table(long: DataFrame, order: int = 1, smoothing: float = 1.0, keys=SERIES,

@@ -74,35 +74,37 @@ def score_codes(probs: list[str], candidates: list[tuple[str, int]]) -> Column:
     return F.array_sort(scored)
 
 
-def _renormalise(scored: Column) -> Column:
-    """(code, prob, family) with probabilities summing to one over the candidates."""
-    total = F.aggregate(scored, F.lit(0.0), lambda a, c: a - c["m"])
-    return F.transform(
-        scored, lambda c: F.struct(c["code"].alias("code"), (-c["m"] / total).alias("prob"), c["family"].alias("family"))
-    )
+def _mass(scored) -> Column:
+    return F.aggregate(scored, F.lit(0.0), lambda a, c: a - c["m"])
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly array column that is evaluated once per row.
+
+    A projection may be inlined into the lambdas that use it and run again for
+    every element; a generator over one element is not.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def rank_codes(df: DataFrame, probs: list[str], candidates: list[tuple[str, int]], top_k: int,
                out: str = "ranked") -> DataFrame:
-    """Top candidates of each row as an array of (code, prob, family)."""
-    return df.withColumn("_s", score_codes(probs, candidates)).withColumn(
-        out, F.slice(_renormalise(F.col("_s")), 1, top_k)
-    ).drop("_s")
+    """Top candidates of each row as (−product, code, family), and ``<out>_mass``.
+
+    A probability is −m / mass, the product renormalised over all candidates.
+    """
+    scored = once(df, "_s", score_codes(probs, candidates))
+    return scored.withColumns({out: F.slice("_s", 1, top_k), f"{out}_mass": _mass("_s")}).drop("_s")
 
 
 def explode_ranking(df: DataFrame, keys, ranked: str = "ranked") -> DataFrame:
     """Long (keys, rank, code, prob, score, cumulative probability) rows."""
-    running = F.transform(
-        F.sequence(F.lit(1), F.size(ranked)),
-        lambda n: F.aggregate(F.slice(ranked, 1, n), F.lit(0.0), lambda a, c: a + c["prob"]),
-    )
-    rows = F.zip_with(
-        ranked, running,
-        lambda c, s: F.struct(c["code"].alias("code"), c["prob"].alias("prob"), c["family"].alias("family"), s.alias("cum_prob")),
-    )
-    return df.select(*keys, F.posexplode(rows).alias("i", "x")).select(
-        *keys, (F.col("i") + 1).alias("rank"), F.col("x.code").alias("code"), F.col("x.prob").alias("prob"),
-        (F.col("x.prob") * 100.0).alias("score"), F.col("x.family").alias("family"), F.col("x.cum_prob").alias("cum_prob"),
+    mass = F.col(f"{ranked}_mass")
+    p = -F.col("x.m") / mass
+    return df.select(*keys, ranked, mass, F.posexplode(ranked).alias("i", "x")).select(
+        *keys, (F.col("i") + 1).alias("rank"), F.col("x.code").alias("code"), p.alias("prob"),
+        (p * 100.0).alias("score"), F.col("x.family").alias("family"),
+        (_mass(F.slice(ranked, F.lit(1), F.col("i") + 1)) / mass).alias("cum_prob"),
     )
 
 
@@ -114,29 +116,19 @@ def top_k_views(ranking: DataFrame, keys, ks) -> DataFrame:
     )
 
 
-def by_family(probs: list[str], candidates: list[tuple[str, int]], top_k: int) -> Column:
-    """Best candidates of each family 0..9, probabilities renormalised in the family."""
-    scored = score_codes(probs, candidates)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(9)),
-        lambda f: F.slice(_renormalise(F.filter(scored, lambda c: c["family"] == f)), 1, top_k),
-    )
-
-
 def family_constrained(df: DataFrame, probs: list[str], candidates, keys, pair: str = "pair",
                        top_k: int = 5) -> DataFrame:
     """Ranking within the family of each digit of a pair."""
-    step = df.withColumn("_f", by_family(probs, candidates, top_k))
-    picks = F.array(
+    sides = F.array(
         *[
-            F.struct(
-                F.lit(name).alias("side"), F.substring(pair, i, 1).alias("digit"),
-                F.get("_f", F.substring(pair, i, 1).cast("int")).alias("ranked"),
-            )
+            F.struct(F.lit(name).alias("side"), F.substring(pair, i, 1).alias("digit"))
             for i, name in ((1, "first"), (2, "second"))
         ]
     )
-    return explode_ranking(step.select(*keys, F.inline(picks)), [*keys, "side", "digit"])
+    step = once(df, "_s", score_codes(probs, candidates)).select(*keys, "_s", F.inline(sides))
+    step = once(step, "_f", F.filter("_s", lambda c: c["family"] == F.col("digit").cast("int")))
+    ranked = step.select(*keys, "side", "digit", F.slice("_f", 1, top_k).alias("ranked"), _mass("_f").alias("ranked_mass"))
+    return explode_ranking(ranked, [*keys, "side", "digit"])
 
 
 def joint_selection(df: DataFrame, pair_probs: list[str], tail_probs: list[str], pairs, tails, keys,
@@ -146,22 +138,27 @@ def joint_selection(df: DataFrame, pair_probs: list[str], tail_probs: list[str],
     Tails must belong to the family of the pair's digit. The product grows with
     each factor, so only the top k of each list can reach the joint top k.
     """
-    step = rank_codes(df, pair_probs, pairs, top_k, "_p").withColumn("_f", by_family(tail_probs, tails, top_k))
+    step = once(rank_codes(df, pair_probs, pairs, top_k, "_p"), "_s", score_codes(tail_probs, tails))
+    families = F.transform(
+        F.sequence(F.lit(0), F.lit(9)), lambda f: F.filter("_s", lambda c: c["family"] == f)
+    )
+    step = once(step, "_f", families)
 
-    def family(pair, i):
-        return F.get(F.col("_f"), F.substring(pair["code"], i, 1).cast("int"))
+    def family(p, i):
+        return F.get(F.col("_f"), F.substring(p["code"], i, 1).cast("int"))
 
     triples = F.flatten(
         F.transform(
             "_p",
             lambda p: F.flatten(
                 F.transform(
-                    family(p, 1),
+                    F.slice(family(p, 1), 1, top_k),
                     lambda a: F.transform(
-                        family(p, 2),
+                        F.slice(family(p, 2), 1, top_k),
                         lambda b: F.struct(
-                            (-(p["prob"] * a["prob"] * b["prob"])).alias("m"), p["code"].alias("pair"),
-                            a["code"].alias("first_tail"), b["code"].alias("second_tail"),
+                            (-((-p["m"] / F.col("_p_mass")) * (-a["m"] / _mass(family(p, 1)))
+                               * (-b["m"] / _mass(family(p, 2))))).alias("m"),
+                            p["code"].alias("pair"), a["code"].alias("first_tail"), b["code"].alias("second_tail"),
                         ),
                     ),
                 )
@@ -189,8 +186,8 @@ def outcomes(df: DataFrame, source: str, actual: str, ranked: str = "ranked", ke
         F.lit(source).alias("source_type"), F.col(keys[0]).alias("group_id"), F.col(keys[1]).alias("target_date"),
         F.col(actual).alias("actual"), rank.cast("int").alias("actual_rank"),
         F.coalesce(1.0 / rank, F.lit(0.0)).alias("reciprocal_rank"),
-        F.get(ranked, F.lit(0))["prob"].alias("top_prob"),
-        F.aggregate(ranked, F.lit(0.0), lambda a, c: a + c["prob"]).alias("cum_prob"),
+        (-F.get(ranked, F.lit(0))["m"] / F.col(f"{ranked}_mass")).alias("top_prob"),
+        (_mass(ranked) / F.col(f"{ranked}_mass")).alias("cum_prob"),
     ).withColumn("bucket", rank_bucket(F.col("actual_rank")))
 
 
@@ -223,14 +220,20 @@ def explain(df: DataFrame, keys, probs: str = "probs", top_k: int = 10) -> DataF
 
 
 def contributions(rows: DataFrame, weights: DataFrame, keys) -> DataFrame:
-    """Each model's share of the blended probability of the top symbol."""
+    """Each model's share of the blended probability of the top symbol.
+
+    The list gathered per observation has one entry per model.
+    """
     weighted = rows.join(F.broadcast(weights), "model").withColumn(
-        "w", F.transform("probs", lambda p: p * F.col("weight"))
+        "w", F.array(*[F.col("probs")[d] * F.col("weight") for d in range(10)])
     )
-    total = weighted.groupBy(*keys).agg(F.array(*[F.sum(F.col("w")[d]) for d in range(10)]).alias("t"))
-    picked = weighted.join(total.withColumn("symbol", S.argmax(F.col("t"))), list(keys))
+    packed = weighted.groupBy(*keys).agg(
+        F.array(*[F.sum(F.col("w")[d]) for d in range(10)]).alias("t"),
+        F.collect_list(F.struct("model", "w")).alias("m"),
+    )
+    out = packed.withColumn("symbol", S.argmax(F.col("t"))).select(*keys, "t", "symbol", F.inline("m"))
     mass = F.get("w", F.col("symbol"))
-    return picked.select(
+    return out.select(
         *keys, "model", "symbol", mass.alias("contribution"),
         S.ratio(mass, F.get("t", F.col("symbol")), 0.0).alias("contribution_share"),
     )

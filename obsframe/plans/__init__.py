@@ -2,6 +2,7 @@
 
 from obsframe.plans.catalog import ORACLES, QUERIES
 from obsframe.plans import (  # noqa: F401  (registration)
+    controls,
     features,
     observations,
     rankings,

@@ -128,8 +128,8 @@ def head_members(codes: DataFrame) -> DataFrame:
 
 
 def _micro(x):
-    """Nearest millionth as a count, halves up."""
-    return F.floor(x * 1e6 + 0.5)
+    """Millionths as a count; the cut lies off the halves, which exact ratios hit."""
+    return F.floor(x * 1e6 + 0.5003)
 
 
 def pack(df: DataFrame) -> DataFrame:
@@ -212,7 +212,7 @@ def q(select: str, *ctes: str) -> str:
 
 def r(expr: str, name: str) -> str:
     """Rounded double column of the SQL text."""
-    return f"floor(CAST({expr} AS DOUBLE) * 1e6 + 0.5) / 1e6 AS {name}"
+    return f"floor(CAST({expr} AS DOUBLE) * 1e6 + 0.5003) / 1e6 AS {name}"
 
 
 def day(expr: str, name: str | None = None) -> str:
@@ -226,7 +226,7 @@ def ints(expr: str, name: str) -> str:
 def doubles(expr: str, name: str) -> str:
     return (
         f"array_to_string(list_transform({expr}, lambda v: "
-        f"coalesce(CAST(CAST(floor(v * 1e6 + 0.5) AS BIGINT) AS VARCHAR), 'NA')), ',') AS {name}"
+        f"coalesce(CAST(CAST(floor(v * 1e6 + 0.5003) AS BIGINT) AS VARCHAR), 'NA')), ',') AS {name}"
     )
 
 

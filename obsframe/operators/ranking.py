@@ -93,7 +93,8 @@ def rank_codes(df: DataFrame, probs: list[str], candidates: list[tuple[str, int]
 
     A probability is −m / mass, the product renormalised over all candidates.
     """
-    scored = once(df, "_s", score_codes(probs, candidates))
+    # read twice below, so the optimizer keeps it as one evaluation and can still prune it
+    scored = df.withColumn("_s", score_codes(probs, candidates))
     return scored.withColumns({out: F.slice("_s", 1, top_k), f"{out}_mass": _mass("_s")}).drop("_s")
 
 

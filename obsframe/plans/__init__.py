@@ -8,6 +8,7 @@ from obsframe.plans import (  # noqa: F401  (registration)
     rankings,
     series,
     statistics,
+    training,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -91,8 +91,9 @@ BUCKET = "CASE WHEN actual_rank IS NULL THEN 'UNAVAILABLE' WHEN actual_rank = 1
 
 def oc(name: str, col: str) -> str:
     return f"""SELECT '{col}' AS source_type, o.entity_id AS group_id, o.obs_date AS target_date, o.{col} AS actual,
-  CAST(max(k.rank) FILTER (k.code = o.{col}) AS INTEGER) AS actual_rank, coalesce(1.0::DOUBLE / max(k.rank) FILTER (k.code = o.{col}), 0) AS reciprocal_rank,
-  max(k.prob) AS top_prob, sum(k.prob ORDER BY k.rank) AS cum_prob FROM obs o JOIN (SELECT * FROM {name} WHERE rank <= {DEPTH}) k ON o.entity_id = k.entity_id AND o.obs_date = k.obs_date GROUP BY 1, 2, 3, 4"""
+  CAST(max(k.rank) FILTER (k.code = o.{col} AND k.rank <= {DEPTH}) AS INTEGER) AS actual_rank, coalesce(1.0::DOUBLE / max(k.rank) FILTER (k.code = o.{col} AND k.rank <= {DEPTH}), 0) AS reciprocal_rank,
+  max(k.prod) / sum(k.prod ORDER BY k.rank) AS top_prob, sum(k.prod ORDER BY k.rank) FILTER (k.rank <= {DEPTH}) / sum(k.prod ORDER BY k.rank) AS cum_prob
+  FROM obs o JOIN {name} k ON o.entity_id = k.entity_id AND o.obs_date = k.obs_date GROUP BY 1, 2, 3, 4"""
 
 
 OC = f"oc AS (SELECT *, {BUCKET} AS bucket FROM ({oc('pr', 'pair')} UNION ALL {oc('tr', 'tail')}))"

@@ -17,6 +17,7 @@ from obsframe.plans.features import S, back
 from obsframe.plans.features import E as ENT
 from obsframe.plans.observations import PRIOR
 from obsframe.plans.statistics import FREQ
+from obsframe.session import cut_lineage
 
 ID = ("entity_id", "obs_date")
 TAILS, PAIRS = K.tail_candidates(), K.pair_candidates()
@@ -63,6 +64,11 @@ def outcome_rows(t):
     return pair.unionByName(tail)
 
 
+def kept_outcomes(t):
+    """Outcomes written once in the checkpoint folder; reports read them several times."""
+    return cut_lineage(outcome_rows(t))
+
+
 # -- SQL ----------------------------------------------------------------------
 
 WM = f"(PARTITION BY entity_id, position, pv ORDER BY obs_date {PRIOR})"
@@ -326,20 +332,20 @@ PM = f"""pm AS (SELECT source_type, period_index, period_start, period_end, coun
 sn AS ({' UNION ALL '.join(f"SELECT source_type, period_index, period_start, period_end, n_obs, n_ranked, '{m}' AS metric, coalesce({m}, 0)::DOUBLE AS value FROM pm" for m in E.METRICS)})"""
 PERIOD = (*OUT, per(7), PM)
 register(
-    "o05_period_metrics", lambda t: E.period_metrics(outcome_rows(t)),
+    "o05_period_metrics", lambda t: E.period_metrics(kept_outcomes(t)),
     q(f"SELECT source_type, period_index, {day('period_start')}, {day('period_end')}, n_obs, n_ranked, {', '.join(r(m, m) for m in E.METRICS)} FROM pm", *PERIOD),
 )
 register(
-    "o05_metric_trends", lambda t: E.metric_trends(E.metric_snapshots(E.period_metrics(outcome_rows(t)))),
+    "o05_metric_trends", lambda t: E.metric_trends(E.metric_snapshots(E.period_metrics(kept_outcomes(t)))),
     q(f"SELECT source_type, metric, {r('s', 'slope_per_day')}, {r('f', 'first_value')}, {r('l', 'last_value')}, {r('l - f', 'change')}, n AS n_periods, CASE WHEN s > 0 THEN 'IMPROVING' WHEN s < 0 THEN 'DECLINING' ELSE 'STABLE' END AS direction FROM (SELECT source_type, metric, regr_slope(value, date_diff('day', DATE '1970-01-01', period_start)) AS s, arg_min(value, period_index) AS f, arg_max(value, period_index) AS l, count(*) AS n FROM sn GROUP BY 1, 2)", *PERIOD),
 )
 register(
-    "o06_metric_snapshots", lambda t: E.metric_snapshots(E.period_metrics(outcome_rows(t))),
+    "o06_metric_snapshots", lambda t: E.metric_snapshots(E.period_metrics(kept_outcomes(t))),
     q(f"SELECT source_type, period_index, {day('period_start')}, {day('period_end')}, n_obs, n_ranked, metric, {r('value', 'value')} FROM sn", *PERIOD),
 )
 RULES = ", ".join(f"('{m}', {x})" for m, x in E.DEGRADATION_RULES)
 register(
-    "o07_degradation", lambda t: E.degradation(E.metric_snapshots(E.period_metrics(outcome_rows(t)))),
+    "o07_degradation", lambda t: E.degradation(E.metric_snapshots(E.period_metrics(kept_outcomes(t)))),
     q(f"""SELECT source_type, metric, {r('b', 'baseline')}, {r('l', 'latest')}, trailing_run, {r('l - b', 'change')}, {r('(l - b) / nullif(abs(b), 0)', 'relative_change')},
       CASE WHEN metric IN ('mean_actual_rank', 'miss_rate') THEN l > b ELSE l < b END AND abs(l - b) >= th AND trailing_run >= 1 AS degraded
       FROM (SELECT source_type, metric, arg_min(value, period_index) AS b, arg_max(value, period_index) AS l FROM sn GROUP BY 1, 2)
@@ -349,7 +355,7 @@ register(
 )
 BINS = "[" + ", ".join(f"count(*) FILTER (least(9, floor(top_prob * 10)) = {i})" for i in range(10)) + "]"
 register(
-    "o08_prediction_distribution", lambda t: E.period_histograms(outcome_rows(t)),
+    "o08_prediction_distribution", lambda t: E.period_histograms(kept_outcomes(t)),
     q(f"SELECT source_type, period_index, {day('period_start')}, {day('period_end')}, n_obs, {', '.join(f'n_{b}' for b in 'top_1 top_3 top_5 top_10 outside_top_10 unavailable'.split())}, array_to_string(bins, ',') AS bins, {r('mt', 'mean_top_prob')}, {r('mc', 'mean_cum_prob')}, {r('list_sum(list_transform(bins, lambda c: CASE WHEN c > 0 THEN -(c / n_obs) * ln(c / n_obs) ELSE 0 END))', 'bin_entropy')} FROM (SELECT source_type, period_index, period_start, period_end, count(*) AS n_obs, "
       + ", ".join(f"count(*) FILTER (bucket = '{b}') AS n_{b.lower()}" for b in ("TOP_1", "TOP_3", "TOP_5", "TOP_10", "OUTSIDE_TOP_10", "UNAVAILABLE")) + f", {BINS} AS bins, avg(top_prob) AS mt, avg(cum_prob) AS mc FROM po GROUP BY 1, 2, 3, 4)", *OUT, per(7)),
 )
@@ -363,7 +369,7 @@ def psi_sql(b: str, bn: str, c: str, cn: str, n: int) -> str:
 MD = f"""ml AS (SELECT source_type, period_index, period_start, 'top_probability' AS metric, top_prob AS v FROM po UNION ALL SELECT source_type, period_index, period_start, 'cumulative_probability', cum_prob FROM po),
 mv AS (SELECT source_type, metric, period_index, period_start, count(*)::DOUBLE AS n, avg(v) AS mean, {BINS.replace('top_prob', 'v')} AS bins FROM ml GROUP BY 1, 2, 3, 4)"""
 register(
-    "o09_model_drift", lambda t: E.model_drift(outcome_rows(t), days=28),
+    "o09_model_drift", lambda t: E.model_drift(kept_outcomes(t), days=28),
     q(f"SELECT source_type, metric, c.period_index, {day('c.period_start', 'period_start')}, CAST(c.n AS BIGINT) AS n, {r('c.mean', 'mean')}, CAST(b.n AS BIGINT) AS baseline_n, {r('b.mean', 'baseline_mean')}, {r(psi_sql('b.bins', 'b.n', 'c.bins', 'c.n', 10), 'psi')}, {psi_sql('b.bins', 'b.n', 'c.bins', 'c.n', 10)} >= 0.2 AS drifted FROM mv c JOIN mv b USING (source_type, metric) WHERE b.period_index = 0 AND c.period_index > 0", *OUT, per(28), MD),
 )
 
@@ -414,7 +420,7 @@ cp AS (SELECT source_type, period_index, period_start, period_end, sum(n) AS n_r
   coalesce(sum(abs(sp - sy)) / nullif(sum(n), 0), 0) AS expected_calibration_error, coalesce(sum(sp) / nullif(sum(n), 0), 0) - coalesce(sum(sy) / nullif(sum(n), 0), 0) AS calibration_gap FROM cs GROUP BY 1, 2, 3, 4)"""
 CM = ("expected_calibration_error", "brier_score", "calibration_gap")
 register(
-    "o13_calibration_periods", lambda t: E.calibration_periods(outcome_rows(t), 28),
+    "o13_calibration_periods", lambda t: E.calibration_periods(kept_outcomes(t), 28),
     q(f"SELECT source_type, period_index, {day('period_start')}, {day('period_end')}, CAST(n_ranked AS BIGINT) AS n_ranked, {', '.join(r(m, m) for m in (*CM, 'mean_predicted_probability', 'empirical_hit_rate'))} FROM cp", *OUT, per(28), CAL),
 )
 
@@ -425,17 +431,17 @@ def first_sql(src: str, metrics) -> str:
 
 
 register(
-    "o13_calibration_drift", lambda t: E.against_first(E.calibration_periods(outcome_rows(t), 28), CM),
+    "o13_calibration_drift", lambda t: E.against_first(E.calibration_periods(kept_outcomes(t), 28), CM),
     q(first_sql("cp", CM), *OUT, per(28), CAL),
 )
 register(
-    "o13_calibration_bins", lambda t: E.calibration_bins(outcome_rows(t)),
+    "o13_calibration_bins", lambda t: E.calibration_bins(kept_outcomes(t)),
     q(f"SELECT source_type, CAST(d.range AS INTEGER) AS bin, count(*) FILTER (least(9, floor(top_prob * 10)) = d.range) AS n, {r('coalesce(avg(top_prob) FILTER (least(9, floor(top_prob * 10)) = d.range), 0)', 'mean_predicted')}, {r('coalesce(avg((actual_rank = 1)::INTEGER) FILTER (least(9, floor(top_prob * 10)) = d.range), 0)', 'hit_rate')}, {r('abs(coalesce(avg(top_prob) FILTER (least(9, floor(top_prob * 10)) = d.range), 0) - coalesce(avg((actual_rank = 1)::INTEGER) FILTER (least(9, floor(top_prob * 10)) = d.range), 0))', 'abs_gap')} FROM oc CROSS JOIN range(10) d WHERE actual_rank IS NOT NULL GROUP BY 1, 2", *OUT),
 )
 RD = f"""rd0 AS (SELECT source_type, period_index, period_start, count(actual_rank)::DOUBLE AS n, {', '.join(f'{hit(k)} AS top_{k}_rate' for k in (1, 3, 5, 10))}, avg(actual_rank) AS mean_actual_rank, {MRR} AS mean_reciprocal_rank,
-  [{', '.join(f'count(*) FILTER (least(actual_rank, 20) = {i})' for i in range(1, 21))}] AS bins FROM po GROUP BY 1, 2, 3),
+  [{', '.join(f'count(*) FILTER (actual_rank IS NOT NULL AND least(actual_rank, 20) = {i})' for i in range(1, 21))}] AS bins FROM po GROUP BY 1, 2, 3),
 rd AS (SELECT c.*, CASE WHEN b.n > 0 AND c.n > 0 THEN {psi_sql('b.bins', 'b.n', 'c.bins', 'c.n', 20)} ELSE 0 END AS rank_distribution_psi FROM rd0 c JOIN rd0 b ON b.source_type = c.source_type AND b.period_index = 0)"""
 register(
-    "o14_ranking_drift", lambda t: E.ranking_drift(outcome_rows(t), 28),
+    "o14_ranking_drift", lambda t: E.ranking_drift(kept_outcomes(t), 28),
     q(first_sql("rd", ("top_1_rate", "top_3_rate", "top_5_rate", "top_10_rate", "mean_actual_rank", "mean_reciprocal_rank", "rank_distribution_psi")), *OUT, per(28), RD),
 )

@@ -4,7 +4,7 @@ import tempfile
 import uuid
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -45,12 +45,18 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFr
 
 
 def ingest(stream: DataFrame, stored: str, checkpoint: str, order: str = "obs_id", keys=("entity_id", "obs_date")):
-    """Append unseen keys of a file stream to ``stored``; restarts resume from the checkpoint."""
+    """Append unseen keys of a file stream to ``stored``; restarts resume from the checkpoint.
+
+    Every batch owns one sub-folder and reads only the earlier ones, so a batch
+    replayed after a failure rewrites the same rows.
+    """
     spark = stream.sparkSession
 
     def append(batch: DataFrame, epoch: int) -> None:
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in batch.schema.fields)
-        known = spark.read.schema(schema).option("ignoreMissingFiles", "true").parquet(f"{stored}/*") if epoch else batch.limit(0)
+        known = batch.limit(0)
+        if epoch:
+            earlier = [f"{stored}/batch={i}" for i in range(epoch)]
+            known = spark.read.schema(batch.schema).parquet(*earlier)
         new_rows(batch, known, order, keys).write.mode("overwrite").parquet(f"{stored}/batch={epoch}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(append).start()
@@ -115,7 +121,7 @@ def prequential_scores(df: DataFrame, features=("p1", "p2", "p3"), target: str =
 
     def log_score(d: int) -> Column:
         n = F.col(f"_n{d}").cast("double")
-        out = F.ln((n + 1.0) / (F.col("_n") + float(L.DIGITS)))
+        out = F.ln(F.nullif(n, F.lit(0.0)) / F.col("_n"))
         for f in features:
             mean = F.col(f"_s{d}_{f}") / F.nullif(n, F.lit(0.0))
             var = F.greatest(F.col(f"_q{d}_{f}") / F.nullif(n, F.lit(0.0)) - mean * mean, F.lit(floor))
@@ -151,7 +157,9 @@ def replay(stream: DataFrame, table: DataFrame, folder: str):
 
 def event_periods(events: DataFrame, days: int = 7, start: str = "0 days", watermark: str = "1 day") -> DataFrame:
     """Tumbling periods of event counts and values per type, batch or streaming."""
-    rows = events.withWatermark("ts", watermark) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    if events.isStreaming:
+        rows = rows.withWatermark("ts", watermark)
     return rows.groupBy(F.window("ts", f"{days} days", startTime=start).alias("w"), "event_type").agg(
         F.count("*").alias("n"), F.sum("value").alias("total")
     ).select(F.col("w.start").alias("period_start"), F.col("w.end").alias("period_end"), "event_type", "n", "total")

@@ -136,30 +136,44 @@ def joint_selection(df: DataFrame, pair_probs: list[str], tail_probs: list[str],
                     top_k: int = 5) -> DataFrame:
     """Best (pair, first tail, second tail) triples by product of probabilities.
 
-    Tails must belong to the family of the pair's digit. The product grows with
-    each factor, so only the top k of each list can reach the joint top k.
+    Tails must belong to the family of the pair's digit. Every pair is scored
+    with its best two tails; the k pairs best by that score hold the joint top
+    k, since each of them has a triple at least as good as any triple of the
+    others. In a family only the k best tails can be used.
     """
-    step = once(rank_codes(df, pair_probs, pairs, top_k, "_p"), "_s", score_codes(tail_probs, tails))
-    families = F.transform(
-        F.sequence(F.lit(0), F.lit(9)), lambda f: F.filter("_s", lambda c: c["family"] == f)
-    )
+    step = rank_codes(df, pair_probs, pairs, len(pairs), "_p")
+    step = once(step, "_s", score_codes(tail_probs, tails))
+    families = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda f: F.filter("_s", lambda c: c["family"] == f))
     step = once(step, "_f", families)
+    best_tails = F.transform(
+        "_f",
+        lambda f: F.transform(
+            F.slice(f, 1, top_k), lambda c: F.struct((-c["m"] / _mass(f)).alias("p"), c["code"].alias("code"))
+        ),
+    )
+    step = once(step, "_t", best_tails)
+
+    def family(pair, i):
+        return F.get(F.col("_t"), F.substring(pair, i, 1).cast("int"))
 
-    def family(p, i):
-        return F.get(F.col("_f"), F.substring(p["code"], i, 1).cast("int"))
+    def with_best(c):
+        p = -c["m"] / F.col("_p_mass")
+        first, second = (F.get(family(c["code"], i), F.lit(0))["p"] for i in (1, 2))
+        return F.struct((-(p * first * second)).alias("m"), c["code"].alias("code"), p.alias("p"))
 
+    scored = F.filter(F.transform("_p", with_best), lambda c: c["m"].isNotNull())
+    step = once(step, "_b", F.slice(F.array_sort(scored), 1, top_k))
     triples = F.flatten(
         F.transform(
-            "_p",
-            lambda p: F.flatten(
+            "_b",
+            lambda c: F.flatten(
                 F.transform(
-                    F.slice(family(p, 1), 1, top_k),
+                    family(c["code"], 1),
                     lambda a: F.transform(
-                        F.slice(family(p, 2), 1, top_k),
+                        family(c["code"], 2),
                         lambda b: F.struct(
-                            (-((-p["m"] / F.col("_p_mass")) * (-a["m"] / _mass(family(p, 1)))
-                               * (-b["m"] / _mass(family(p, 2))))).alias("m"),
-                            p["code"].alias("pair"), a["code"].alias("first_tail"), b["code"].alias("second_tail"),
+                            (-(c["p"] * a["p"] * b["p"])).alias("m"), c["code"].alias("pair"),
+                            a["code"].alias("first_tail"), b["code"].alias("second_tail"),
                         ),
                     ),
                 )

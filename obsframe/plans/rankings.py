@@ -40,8 +40,15 @@ def both_models(t):
 
 
 def predictions(t, positions=L.POSITIONS):
-    """One row per target with the probability array of each position."""
-    rows = markov(t).where(F.col("position").isin(list(positions)))
+    """One row per target with the probability array of each position.
+
+    One explicit partitioning serves the regrouping and the join. Scoring
+    candidates costs far more per byte than the shuffle, so the partitions must
+    not be coalesced by size.
+    """
+    parts = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    long = t.long.where(F.col("position").isin(list(positions)))
+    rows = P.markov_rows(long).drop("model", "target").repartition(parts, *ID)
     wide = rows.groupBy(*ID).agg(
         *[F.first(F.when(F.col("position") == p, F.col("probs")), ignorenulls=True).alias(f"q{p[1]}") for p in positions]
     )
@@ -261,7 +268,7 @@ register(
 register(
     "n05_joint_selection",
     lambda t: K.joint_selection(predictions(t, ("p4", "p5", "p6", "p7", "p8")), ["q4", "q5"], ["q6", "q7", "q8"], PAIRS, TAILS, ID, 3).drop("pair", "first_tail", "second_tail"),
-    q(f"SELECT entity_id, {day('obs_date')}, CAST(k AS INTEGER) AS rank, {r('score', 'joint_score')} FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, obs_date ORDER BY score DESC) AS k FROM (SELECT p.entity_id, p.obs_date, p.prob * a.fprob * b.fprob AS score FROM (SELECT * FROM pr WHERE rank <= 3) p JOIN (SELECT * FROM fr WHERE frank <= 3) a ON a.entity_id = p.entity_id AND a.obs_date = p.obs_date AND a.family = CAST(substr(p.code, 1, 1) AS INTEGER) JOIN (SELECT * FROM fr WHERE frank <= 3) b ON b.entity_id = p.entity_id AND b.obs_date = p.obs_date AND b.family = CAST(substr(p.code, 2, 1) AS INTEGER))) WHERE k <= 3", MK, PW, PR, TR, FAMR),
+    q(f"SELECT entity_id, {day('obs_date')}, CAST(k AS INTEGER) AS rank, {r('score', 'joint_score')} FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, obs_date ORDER BY score DESC) AS k FROM (SELECT p.entity_id, p.obs_date, p.prob * a.fprob * b.fprob AS score FROM pr p JOIN (SELECT * FROM fr WHERE frank <= 3) a ON a.entity_id = p.entity_id AND a.obs_date = p.obs_date AND a.family = CAST(substr(p.code, 1, 1) AS INTEGER) JOIN (SELECT * FROM fr WHERE frank <= 3) b ON b.entity_id = p.entity_id AND b.obs_date = p.obs_date AND b.family = CAST(substr(p.code, 2, 1) AS INTEGER))) WHERE k <= 3", MK, PW, PR, TR, FAMR),
 )
 register(
     "n06_family_audit",

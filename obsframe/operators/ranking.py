@@ -1,14 +1,15 @@
 """Candidate rankings, computed inside the prediction row.
 
 A target's candidates are at most 10 symbols or 1,000 codes, so scoring,
-sorting and the top-k cut happen in arrays of one row: no shuffle, no join, and
-a hot entity is only more rows.
+sorting and the top-k cut stay inside one row: no shuffle, no join, and a hot
+entity is only more rows.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsframe.functions import stats as S
+from obsframe.functions.special import top_products
 
 MAX_CODES = 1000
 
@@ -93,9 +94,16 @@ def rank_codes(df: DataFrame, probs: list[str], candidates: list[tuple[str, int]
 
     A probability is −m / mass, the product renormalised over all candidates.
     """
-    # read twice below, so the optimizer keeps it as one evaluation and can still prune it
-    scored = df.withColumn("_s", score_codes(probs, candidates))
-    return scored.withColumns({out: F.slice("_s", 1, top_k), f"{out}_mass": _mass("_s")}).drop("_s")
+    if not 0 < len(candidates) <= MAX_CODES:
+        raise ValueError(f"between 1 and {MAX_CODES} candidates")
+    codes = F.array(*[F.lit(c) for c, _ in candidates])
+    families = F.array(*[F.lit(f) for _, f in candidates])
+    best = top_products([c for c, _ in candidates], top_k)(*[F.col(p) for p in probs])
+    ranked = F.zip_with(
+        "_r.index", "_r.product",
+        lambda i, m: F.struct((-m).alias("m"), F.get(codes, i).alias("code"), F.get(families, i).alias("family")),
+    )
+    return df.withColumn("_r", best).withColumns({out: ranked, f"{out}_mass": F.col("_r.mass")}).drop("_r")
 
 
 def explode_ranking(df: DataFrame, keys, ranked: str = "ranked") -> DataFrame:

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from obsframe.llm.bpe import round_trip
 from obsframe.llm.host_rules import COUNTS, judge_documents
 from obsframe.llm.line_dedup import dedup_lines
+from obsframe.llm.packing import pack_documents
+from obsframe.llm.tables import shared_folder
+from obsframe.llm.token_files import ids_crc32, read_tokens, with_starts, write_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,11 +27,26 @@ def op2_host_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge_documents(table(spark, folder, "documents")).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
+def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = shared_folder(spark)
+    write_tokens(table(spark, folder, "documents"), files, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return with_starts(read_tokens(spark, files), ids_crc32("tokens").alias("ids_crc32"))
+
+
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs, added = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return docs.select("doc_id", f"{added}.n_lines", f"{added}.n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+    return packed.select("doc_id", "start", "length", ids_crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 ORACLES["op2_host_rules"] = f"""
@@ -64,5 +84,5 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM judged GROUP BY doc_id
 """
 
-for _query in (op2_host_rules, op5_line_dedup):
+for _query in (op2_host_rules, op3_token_files, op5_line_dedup, op6_byte_bpe, op8_packing):
     QUERIES[_query.__name__] = _query

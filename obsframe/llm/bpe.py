@@ -1,7 +1,8 @@
-"""Byte-level BPE: ranked merges folded over the bytes of distinct words by higher-order functions.
+"""Byte-level BPE: ranked merges folded over the bytes of distinct words; decoding joins the tokens' bytes.
 
-Words travel as hexadecimal text, two characters a byte, since a literal map needs text keys. A
-block of documents is one row: its distinct words, and each document as positions among them.
+The fold stands here twice. ``merged_ids`` is Spark's higher-order functions over a literal rank
+map, for a table of words; words travel as hexadecimal text, two characters a byte, since a literal
+map needs text keys. It takes too long for whole corpora (README), so texts use ``fold_words``, the same fold in arrays of a whole batch of words.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import base64
 import functools
 import hashlib
 import heapq
+import itertools
 import json
 import zlib
 from collections.abc import Callable, Iterator
@@ -21,18 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from obsframe.llm.encode import pieces, ragged, totals
-from obsframe.llm.tables import flat, slices, struct
+from obsframe.llm.encode import PieceEncoder, ragged, totals
+from obsframe.llm.tables import flat, fresh, slices, struct
 
 #: Entries of the literal rank map are dealt to this many small maps, since a map is searched in order.
 BUCKETS = 1 << 15
-BLOCK_BYTES = 16 << 20
 #: Words of more bytes than this are merged with a heap, whose work does not grow with the square of the length.
-LONG_WORD = 256
+LONG_WORD = 48
 NONE = (1 << 31) - 1
-INTS = T.ArrayType(T.IntegerType())
-BLOCK = struct(doc_ids=T.ArrayType(T.LongType()), bounds=T.BinaryType(), at=T.BinaryType(), words=T.ArrayType(T.StringType()), long_ids=T.ArrayType(INTS))
-ENCODED = struct(doc_id=T.LongType(), n_tokens=T.LongType(), ids_sha256=T.StringType(), decoded_sha256=T.StringType())
+ENCODED = struct(doc_id=T.LongType(), ids=T.ArrayType(T.IntegerType(), False), decoded=T.BinaryType())
 
 
 @functools.lru_cache(maxsize=2)
@@ -109,88 +108,152 @@ def heap_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def blocks(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """One row per block of documents of about ``BLOCK_BYTES``: distinct words and where each stands."""
+class PairTable:
+    """Ranks of pairs of ids: keys sorted by bucket, a few to a bucket."""
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
-        for batch in batches:
-            for part in slices(batch, 1, BLOCK_BYTES):
-                coded, bounds = pieces(*flat(part.column(1)))
-                index: dict[str, int] = {}
-                found = [[index.setdefault(w, len(index)) for w in find(p.decode())] for p in coded.dictionary.to_pylist()]
-                sizes = np.array([len(f) for f in found], np.int64)
-                store = np.fromiter((k for f in found for k in f), np.int32, int(sizes.sum()))
-                which = coded.indices.to_numpy()
-                lengths = sizes[which] if len(which) else np.zeros(0, np.int64)
-                at = store[ragged((np.cumsum(sizes) - sizes)[which], lengths)] if len(which) else np.zeros(0, np.int32)
-                words = [w.encode() for w in index]
-                small = np.array([len(w) <= LONG_WORD for w in words], bool)
-                place = np.where(small, np.cumsum(small) - 1, small.sum() + np.cumsum(~small) - 1).astype(np.int32)
-                at = place[at] if len(words) else at
-                merged = [heap_ids(w, read_ranks(ranks_path)) for w, s in zip(words, small) if not s]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())),
-                        pa.array([totals(lengths, bounds).tobytes()], pa.binary()),
-                        pa.array([at.tobytes()], pa.binary()),
-                        pa.array([[w.hex().upper() for w, s in zip(words, small) if s]], pa.list_(pa.string())),
-                        pa.array([merged], pa.list_(pa.list_(pa.int32()))),
-                    ],
-                    names=BLOCK.names,
-                )
-
-    return docs.mapInArrow(split, BLOCK)
-
-
-def block_ids(row: dict[str, pa.Array]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all documents of a block, and the offsets of each among them."""
-    coded = pa.concat_arrays([row["ids"].flatten().cast(pa.list_(pa.int32())), row["long_ids"].flatten().cast(pa.list_(pa.int32()))])
-    starts = coded.offsets.to_numpy().astype(np.int64)
-    values = coded.values.to_numpy(zero_copy_only=False)
-    at, bounds = np.frombuffer(row["at"][0].as_buffer(), np.int32), np.frombuffer(row["bounds"][0].as_buffer(), np.int64)
-    lengths = np.diff(starts)[at]
-    return values[ragged(starts[at], lengths)], totals(lengths, bounds)
+    BITS = 19
 
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        found = {(x << 32 | y): r for t, r in ranks.items() for k in range(1, len(t)) if (x := ranks.get(t[:k])) is not None and (y := ranks.get(t[k:])) is not None}
+        keys, values = np.array(list(found), np.int64), np.array(list(found.values()), np.int32)
+        bucket = self.bucket(keys)
+        order = np.argsort(bucket, kind="stable")
+        self.keys, self.values = np.append(keys[order], -1), np.append(values[order], NONE)
+        self.starts = np.searchsorted(bucket[order], np.arange((1 << self.BITS) + 1))
+        self.most = int(np.diff(self.starts).max(initial=0))
+
+    def bucket(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.int64) << 32 | right
+        bucket = self.bucket(keys)
+        at, end = self.starts[bucket], self.starts[bucket + np.uint64(1)]
+        out = np.full(len(keys), NONE, np.int32)
+        todo = np.flatnonzero(at < end)
+        for _ in range(self.most):
+            hit = self.keys[at[todo]] == keys[todo]
+            out[todo[hit]] = self.values[at[todo[hit]]]
+            todo = todo[~hit]
+            at[todo] += 1
+            todo = todo[at[todo] < end[todo]]
+        return out
+
+
+def fold_words(words: list[bytes], first: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words, one after the other, and how many each has; ``first``: ids of the bytes.
+
+    The fold runs over all words at once: a round joins in each word its leftmost pair of lowest rank.
+    """
+    sizes = np.array([len(w) for w in words], np.int64)
+    ids = first[np.frombuffer(b"".join(words), np.uint8)]
+    word = np.repeat(np.arange(len(words)), sizes)
+    rank = np.full(len(ids), NONE, np.int32)
+    inner = np.flatnonzero(word[1:] == word[:-1])
+    rank[inner] = table.ranks(ids[inner], ids[inner + 1])
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(ids):
+        starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        low = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(ids))))
+        going = low != NONE
+        if not going.all():
+            done.append((word[~going], ids[~going]))
+            word, ids, rank, low = word[going], ids[going], rank[going], low[going]
+            if not len(ids):
+                break
+        at = np.flatnonzero(rank == low)
+        at = at[np.concatenate([[True], word[at][1:] != word[at][:-1]])]
+        ids[at] = rank[at]
+        keep = np.ones(len(ids), bool)
+        keep[at + 1] = False
+        word, ids, rank = word[keep], ids[keep], rank[keep]
+        at = at - np.arange(len(at))
+        rank[at] = NONE
+        for left in (at, at[at > 0] - 1):
+            left = left[left + 1 < len(ids)]
+            left = left[word[left] == word[left + 1]]
+            rank[left] = table.ranks(ids[left], ids[left + 1])
+    word, ids = (np.concatenate(x) if done else np.zeros(0, np.int64) for x in zip(*done)) if done else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+    return ids[np.argsort(word, kind="stable")].astype(np.int32), np.bincount(word, minlength=len(words))
+
+
+class Merger(PieceEncoder):
+    """Ranked merges by one rank file and split pattern."""
+
+    def __init__(self, path: str, pattern: str) -> None:
+        super().__init__()
+        self.ranks, self.find = read_ranks(path), regex.compile(pattern).findall
+        self.first, self.pairs = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32), PairTable(self.ranks)
+        table = [b""] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            table[rank] = token
+        self.sizes = np.array([len(t) for t in table], np.int64)
+        self.bytes, self.begin = np.frombuffer(b"".join(table), np.uint8), np.cumsum(self.sizes) - self.sizes
+
+    def ids_of(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        index: dict[str, int] = {}
+        each = [[index.setdefault(w, len(index)) for w in self.find(p.decode())] for p in found]
+        words = [w.encode() for w in index]
+        folded = [k for k, w in enumerate(words) if w not in self.ranks and len(w) <= LONG_WORD]
+        ids, counts = fold_words([words[k] for k in folded], self.first, self.pairs)
+        rest = sorted(set(range(len(words))) - set(folded))
+        more = [[self.ranks[w]] if w in self.ranks else heap_ids(w, self.ranks) for w in (words[k] for k in rest)]
+        lengths = np.zeros(len(words), np.int64)
+        lengths[folded], lengths[rest] = counts, [len(m) for m in more]
+        ids = np.concatenate([ids, np.fromiter(itertools.chain.from_iterable(more), np.int32)])
+        starts = np.zeros(len(words), np.int64)
+        order = np.array(folded + rest, np.int64)
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        which = np.fromiter(itertools.chain.from_iterable(each), np.int64)
+        per_piece = np.cumsum([0] + [len(e) for e in each])
+        return ids[ragged(starts[which], lengths[which])], np.diff(totals(lengths[which], per_piece))
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The tokens' bytes, one after the other."""
+        return self.bytes[ragged(self.begin[ids], self.sizes[ids])].tobytes()
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_ids, bounds (int64), at (int32), words, ids (of each word) and long_ids of every block of ``docs``."""
-    maps = rank_map(read_ranks(ranks_path))
-    rows = blocks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), ranks_path, pattern)
-    return rows.withColumn("ids", F.transform("words", lambda w: merged_ids(w, maps)))
+
+@functools.lru_cache(maxsize=2)
+def merger(path: str, pattern: str) -> Merger:
+    """The merger of this worker process."""
+    return Merger(path, pattern)
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document the number of ids, their SHA-256 as little-endian unsigned 32-bit integers, and that of the decoded bytes.
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids and decoded bytes of every document.
 
     ``ranks_path`` names a rank file on every machine; each match of ``pattern`` is encoded by
     itself, without special tokens. A null text is empty; repeated rows, and rows without id, are
     encoded one by one; other columns are left out; an empty table gives no rows.
 
-    Nothing is shuffled, collected or broadcast but the rank file: a task cuts its documents into
-    blocks of bounded size, and each distinct word of a block is merged once. A table of the
-    distinct words of the whole corpus would have to be joined to every word of every text.
+    Nothing is shuffled, collected or broadcast: a task takes its documents in slices of bounded
+    size and merges each distinct word of a slice once. A table of the distinct words of the whole
+    corpus would have to be joined to every word of every text.
     """
 
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(ranks_path)
-        table = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            table[rank] = token
-        sizes = np.array([len(t) for t in table], np.int64)
-        store, first = np.frombuffer(b"".join(table), np.uint8), np.cumsum(sizes) - sizes
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = merger(ranks_path, pattern)
         for batch in batches:
-            for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                row = {name: one.column(i) for i, name in enumerate(one.schema.names)}
-                ids, offsets = block_ids(row)
-                raw = memoryview(ids.astype("<u4").tobytes())
-                hashes = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(offsets, offsets[1:])]
-                decoded = []
-                for a, b in zip(offsets, offsets[1:]):  # by document, so that no block's bytes stand expanded at once
-                    own = ids[a:b]
-                    decoded.append(hashlib.sha256(store[ragged(first[own], sizes[own])].tobytes()).hexdigest())
-                yield pa.RecordBatch.from_arrays([row["doc_ids"].flatten(), pa.array(np.diff(offsets)), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], names=ENCODED.names)
-
-    coded = encode_documents(docs, ranks_path, pattern, id_col, text_col)
-    return coded.select("doc_ids", "bounds", "at", "ids", "long_ids").mapInArrow(assemble, ENCODED)
+            for part in slices(batch, 1):
+                ids, offsets = own.encode(*flat(part.column(1)))
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+                decoded = pa.array([own.decode(ids[a:b]) for a, b in zip(offsets, offsets[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, decoded], names=ENCODED.names)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encoded, ENCODED)
+
+
+@F.arrow_udf(T.StringType())
+def ids_sha256(ids: pa.Array) -> pa.Array:
+    """SHA-256 of each list as little-endian unsigned 32-bit integers."""
+    offsets = ids.offsets.to_numpy()
+    raw = memoryview(ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes())
+    return pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(offsets, offsets[1:])], pa.string())
+
+
+def encode_words(words: DataFrame, ranks_path: str, word_col: str = "word") -> DataFrame:
+    """``words`` with the ids of each word (binary) by the native fold alone; a null word gives null, an empty one no ids."""
+    hexed = F.hex(F.col(word_col))
+    out = fresh(words.columns, "ids")
+    ids = F.when(F.length(hexed) == 0, F.array().cast("array<int>")).when(hexed.isNotNull(), merged_ids(hexed, rank_map(read_ranks(ranks_path))))
+    return words.withColumn(out, ids)

@@ -8,13 +8,16 @@ after the other, are those of the text. Pieces repeat far more than texts do.
 from __future__ import annotations
 
 import functools
+import itertools
+import os
 
 import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
 #: Pieces whose ids a worker keeps; at this many it starts afresh.
-CACHED = 300_000
+CACHED = 500_000
+#: Pieces that are encoded as one text.
 JOINED = 64
 
 
@@ -65,51 +68,69 @@ def totals(lengths: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths)])[bounds]
 
 
-class Encoder:
-    """Ids of texts by one tokenizer file; keeps the ids of up to ``CACHED`` pieces."""
+class PieceEncoder:
+    """Ids of texts from the ids of their pieces; keeps the ids of up to ``CACHED`` pieces."""
 
-    def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
-        size = self.tokenizer.get_vocab_size()
-        #: one character stands for one byte in the names of byte-level tokens
-        self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
+    def __init__(self) -> None:
         self.clear()
 
     def clear(self) -> None:
         self.slots: dict[bytes, int] = {}
-        self.starts, self.lengths, self.ids = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
-
-    def _add(self, found: list[bytes]) -> None:
-        plain = [p for p in found if p[:1] == b" " and len(p) > 1 and 32 < p[1] < 128 and 32 < p[-1] < 127]
-        rest = [p for p in found if not (p[:1] == b" " and len(p) > 1 and 32 < p[1] < 128 and 32 < p[-1] < 127)]
-        joined = [b"".join(plain[i : i + JOINED]).decode() for i in range(0, len(plain), JOINED)]
-        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
-        ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(p) for p in plain]), "left") + 1 if plain else np.zeros(0, np.int64)
-        lengths = np.diff(np.concatenate([[0], ends]))
-        more = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False)]
-        lengths = np.concatenate([lengths, [len(m) for m in more]]).astype(np.int64)
-        self.slots.update(zip(plain + rest, range(len(self.slots), len(self.slots) + len(found))))
-        first = len(self.ids)
-        self.ids = np.concatenate([self.ids, ids, *more])
-        self.starts = np.concatenate([self.starts, first + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
+        self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def ids_of(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, one after the other, and how many each has."""
+        raise NotImplementedError
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the offsets of each text among them."""
         coded, bounds = pieces(data, offsets)
+        if not len(coded):
+            return np.zeros(0, np.int32), bounds.astype(np.int64)
         if len(self.slots) > CACHED:
             self.clear()
         distinct = coded.dictionary.to_pylist()
-        missing = [p for p in distinct if p not in self.slots]
-        if missing:
-            self._add(missing)
-        slots = np.fromiter(map(self.slots.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()] if distinct else np.zeros(0, np.int64)
+        slots = np.fromiter(map(self.slots.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            found = [distinct[k] for k in missing]
+            ids, lengths = self.ids_of(found)
+            slots[missing] = np.arange(len(self.slots), len(self.slots) + len(found))
+            self.slots.update(zip(found, slots[missing].tolist()))
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+            self.lengths, self.ids = np.concatenate([self.lengths, lengths]), np.concatenate([self.ids, ids])
+        slots = slots[coded.indices.to_numpy()]
         lengths = self.lengths[slots]
         return self.ids[ragged(self.starts[slots], lengths)], totals(lengths, bounds)
 
 
+class Encoder(PieceEncoder):
+    """The tokenizers library on one tokenizer file."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        #: one character stands for one byte in the names of byte-level tokens
+        self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
+
+    def ids_of(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [p.decode() for p in found]
+        # such pieces may stand one after the other: each begins with a space between two solid characters
+        inner = np.array([t[0] == " " and len(t) > 1 and not t[1].isspace() and not t[-1].isspace() for t in texts])
+        runs = np.where(inner, np.cumsum(inner) // JOINED, -1 - np.arange(len(texts)))
+        order = np.argsort(~inner, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], runs[order][1:] != runs[order][:-1]])).tolist() + [len(texts)]
+        joined = ["".join([texts[k] for k in order[a:b]]) for a, b in zip(cuts, cuts[1:])]
+        ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)), np.int32)
+        sizes = np.array([len(p) for p in found])[order]
+        ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum(sizes), "left") + 1
+        lengths = np.diff(ends, prepend=0)
+        back = np.argsort(order)
+        return ids[ragged((ends - lengths)[back], lengths[back])], lengths[back]
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """The encoder of this worker process."""
@@ -118,4 +139,4 @@ def encoder(path: str) -> Encoder:
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """``end_id`` added at the end of every text."""
-    return np.insert(ids, offsets[1:], np.uint32(end_id)), offsets + np.arange(len(offsets))
+    return np.insert(ids, offsets[1:], end_id), offsets + np.arange(len(offsets))

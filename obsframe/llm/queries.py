@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsframe.llm.bpe import round_trip
+from obsframe.llm.bpe import encode_documents, ids_sha256
 from obsframe.llm.host_rules import COUNTS, judge_documents
 from obsframe.llm.line_dedup import dedup_lines
 from obsframe.llm.packing import pack_documents
+from obsframe.llm.passages import quality_scorer
+from obsframe.llm.samples import held_out
 from obsframe.llm.tables import shared_folder
 from obsframe.llm.token_files import ids_crc32, read_tokens, with_starts, write_tokens
+from obsframe.llm.toxicity import toxicity_scorer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,13 +36,30 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return with_starts(read_tokens(spark, files), ids_crc32("tokens").alias("ids_crc32"))
 
 
+def scored(docs: DataFrame, score: Callable[[Column], Column], least: float) -> DataFrame:
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.col("text")).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= least).cast("int"))
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return scored(docs, toxicity_scorer(docs, table(spark, folder, "labels")), 0.5)
+
+
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs, added = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return docs.select("doc_id", f"{added}.n_lines", f"{added}.n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    return round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = encode_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    hashes = ids_sha256("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *hashes)
+
+
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return scored(docs, quality_scorer(docs, table(spark, folder, "labels")), 0.3)
 
 
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,5 +104,5 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM judged GROUP BY doc_id
 """
 
-for _query in (op2_host_rules, op3_token_files, op5_line_dedup, op6_byte_bpe, op8_packing):
+for _query in (op2_host_rules, op3_token_files, op4_toxicity, op5_line_dedup, op6_byte_bpe, op7_quality, op8_packing):
     QUERIES[_query.__name__] = _query

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from obsframe.llm.bpe import encode_documents, ids_sha256
 from obsframe.llm.host_rules import COUNTS, judge_documents
 from obsframe.llm.line_dedup import dedup_lines
+from obsframe.llm.neighbours import nearest_rows
 from obsframe.llm.ngram_join import join_documents
 from obsframe.llm.packing import pack_documents
 from obsframe.llm.passages import quality_scorer
@@ -68,6 +69,10 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", ids_crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest_rows(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return join_documents(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -109,5 +114,5 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM judged GROUP BY doc_id
 """
 
-for _query in (op2_host_rules, op3_token_files, op4_toxicity, op5_line_dedup, op6_byte_bpe, op7_quality, op8_packing, op10_ngram_join):
+for _query in (op2_host_rules, op3_token_files, op4_toxicity, op5_line_dedup, op6_byte_bpe, op7_quality, op8_packing, op9_neighbours, op10_ngram_join):
     QUERIES[_query.__name__] = _query

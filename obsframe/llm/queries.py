@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from obsframe.llm.neighbours import nearest_rows
 from obsframe.llm.ngram_join import join_documents
 from obsframe.llm.packing import pack_documents
 from obsframe.llm.passages import quality_scorer
+from obsframe.llm.pseudo_likelihood import score_documents
 from obsframe.llm.samples import held_out
 from obsframe.llm.tables import shared_folder
 from obsframe.llm.token_files import ids_crc32, read_tokens, with_starts, write_tokens
@@ -28,6 +30,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    return score_documents(table(spark, folder, "documents"))
+
+
 def op2_host_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge_documents(table(spark, folder, "documents")).select("doc_id", *COUNTS, "base_failed", "kept")
 
@@ -114,5 +120,7 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM judged GROUP BY doc_id
 """
 
-for _query in (op2_host_rules, op3_token_files, op4_toxicity, op5_line_dedup, op6_byte_bpe, op7_quality, op8_packing, op9_neighbours, op10_ngram_join):
+for _query in (op1_pseudo_likelihood, op2_host_rules, op3_token_files, op4_toxicity, op5_line_dedup, op6_byte_bpe, op7_quality, op8_packing, op9_neighbours, op10_ngram_join):
     QUERIES[_query.__name__] = _query
+
+QUERIES["pipeline"] = corpus_pipeline.run

@@ -23,7 +23,9 @@ SYMBOLS = 32
 STEPS = [(a, b) for b in range(2, 6) for a in range(1, b)]
 DECAY = 0.6
 #: Units less alike than this to every landmark count as nothing.
-ALIKE = 0.4
+ALIKE = 0.5
+#: Least surprise of a unit that marks toxic documents.
+SURPRISE = 12.0
 GONE, WHITE = 255, 254
 
 
@@ -174,10 +176,17 @@ def fit_logistic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple
     return float(w[0]), float(w[1])
 
 
+def surprise(n1: int, n0: int, chance: float) -> float:
+    """How unlikely it is, as a negative logarithm, that n1 of n1 + n0 documents are toxic by ``chance``."""
+    n = n1 + n0
+    return n1 * np.log(n1 / n / chance) + (n0 * np.log(n0 / n / (1 - chance)) if n0 else 0.0)
+
+
 def choose_landmarks(counts: list[tuple[bytes, int, int]], positives: int, negatives: int, insults: int, others: int) -> Landmarks | None:
     """Units that mark toxic documents, none too like an earlier one, and clean units that are most like them."""
     share = lambda n, of: (n + 0.5) / (of + 1)
-    marked = [(n1 * np.log(share(n1, positives) / share(n0, negatives)), u) for u, n1, n0 in counts if n1 >= 2 and share(n1, positives) > 4 * share(n0, negatives)]
+    chance = positives / (positives + negatives)
+    marked = [(n1 * np.log(share(n1, positives) / share(n0, negatives)), u) for u, n1, n0 in counts if share(n1, positives) > 4 * share(n0, negatives) and surprise(n1, n0, chance) >= SURPRISE]
     marked = [u for _, u in sorted(marked, key=lambda m: (-m[0], m[1]))]
     if not marked:
         return None
@@ -196,7 +205,7 @@ def choose_landmarks(counts: list[tuple[bytes, int, int]], positives: int, negat
 SENTENCES = struct(doc_id=T.LongType(), label=T.IntegerType(), weight=T.DoubleType(), rows=T.BinaryType())
 
 
-def toxicity_scorer(docs: DataFrame, labels: DataFrame, per_class: int = 3000, insults: int = 96, others: int = 32, id_col: str = "doc_id", text_col: str = "text") -> Callable[[Column], Column]:
+def toxicity_scorer(docs: DataFrame, labels: DataFrame, per_class: int = 3000, insults: int = 96, others: int = 16, id_col: str = "doc_id", text_col: str = "text") -> Callable[[Column], Column]:
     """A column function from text to the probability of ``labels.toxic`` = 1.
 
     Fits on at most ``per_class`` rows of either label. Landmarks are units that toxic rows hold far

@@ -27,6 +27,8 @@ SIZE, PERCENT = 5, 80
 BITMAP = 8
 #: Fragments of the order for pairs: n-grams of 2-3, 4-7, 8-15, ... sets.
 FRAGMENTS = 8
+#: N-grams of a set that lead it to pivots before the exact join.
+PROBES = 3
 
 SET = struct(n_shingles=T.LongType(), set_key=T.LongType())
 SEGMENTS = struct(fragment=T.IntegerType(), keys=T.BinaryType(), sizes=T.BinaryType(), lengths=T.BinaryType(), grams=T.BinaryType(), counts=T.BinaryType())
@@ -190,31 +192,53 @@ def as_pairs(joined: DataFrame) -> DataFrame:
     return joined.select(F.greatest("a.key", "b.key").alias("u"), F.least("a.key", "b.key").alias("v")).distinct()
 
 
+def mixed_lists(postings: DataFrame, found: DataFrame) -> DataFrame:
+    """Postings of the n-grams whose sets lie in several components, with ``component`` and the list's most frequent one, ``main``."""
+    placed = postings.join(found, F.col("key") == F.col("node"), "left").select(*postings.columns, F.coalesce("component", "key").alias("component"))
+    held = placed.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("many"))
+    mixed = held.groupBy(F.col("gram").alias("of")).agg(F.max_by("component", "many").alias("main"), F.count(F.lit(1)).alias("parts")).filter(F.col("parts") > 1)
+    return placed.join(mixed, F.col("gram") == F.col("of")).select(*placed.columns, "main")
+
+
+def first_shared(a: str, b: str) -> Column:
+    """False only where the n-grams right before this one in the two prefixes show that the sets met at an earlier one."""
+    one, two = F.col(f"{a}.before"), F.col(f"{b}.before")
+    return ~(F.coalesce(one == two, F.lit(False)) | F.coalesce(one == F.col(f"{b}.before2"), F.lit(False)) | F.coalesce(F.col(f"{a}.before2") == two, F.lit(False)))
+
+
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the sets that links reach, by the least key.
 
-    First every set is compared with three pivots of each n-gram of its prefix (the smallest, the
-    largest, the least key), which joins the copies of one text without comparing all of them. Then,
-    for n-grams whose sets still lie in several components, all others than the most frequent
-    component's are compared with every set of another component. No pair is left out that could
-    still join two components.
+    Only links between components matter, so the copies of one text are joined first, without
+    comparing all of them. Each set's PROBES least n-grams by hash, which near copies share, lead to
+    three pivots (the smallest set that chose it, the largest, the least key). Then, in the list of
+    each n-gram of the prefixes that still has several components, all sets outside the most frequent
+    one meet two of its sets, other ones at each n-gram. Last, they meet every set of another
+    component: no pair is left out that could still join two components.
     """
     bits = [F.col("bits")[k].alias(f"b{k}") for k in range(BITMAP)]
     fields = ["n", "key", "shared", *(f"b{k}" for k in range(BITMAP))]
-    postings = written(sets.select("key", "n", "shared", *bits, F.explode(F.slice("grams", 1, F.col("prefix"))).alias("gram")))
+    probes = sets.select("key", "n", "shared", *bits, F.explode(F.slice(F.array_sort("grams"), 1, PROBES)).alias("gram"))
     row = F.struct(*fields)
-    pivots = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("many"), F.array_distinct(F.array(F.min(row), F.max(row), F.min_by(row, F.col("key")))).alias("p")).filter(F.col("many") > 1)
+    pivots = probes.groupBy("gram").agg(F.count(F.lit(1)).alias("many"), F.array_distinct(F.array(F.min(row), F.max(row), F.min_by(row, F.col("key")))).alias("p")).filter(F.col("many") > 1)
     stars = pivots.select("gram", F.explode("p").alias("p")).select("gram", "p.*")
-    met = postings.alias("a").join(stars.alias("b"), F.col("a.gram") == F.col("b.gram")).filter((F.col("a.key") != F.col("b.key")) & may_link("a", "b", percent))
+    met = probes.alias("a").join(stars.alias("b"), F.col("a.gram") == F.col("b.gram")).filter((F.col("a.key") != F.col("b.key")) & may_link("a", "b", percent))
     edges = written(linked(as_pairs(met), sets, percent))
-    first = components(edges)
-    placed = postings.join(first, F.col("key") == F.col("node"), "left").select("gram", *fields, F.coalesce("component", "key").alias("component"))
-    held = placed.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("many"))
-    mixed = held.groupBy(F.col("gram").alias("of")).agg(F.max_by("component", "many").alias("main"), F.count(F.lit(1)).alias("parts")).filter(F.col("parts") > 1)
-    left = placed.join(mixed, F.col("gram") == F.col("of")).select(*placed.columns, "main")
-    other = left.filter(F.col("component") != F.col("main"))
+
+    placed = sets.select("key", "n", "shared", *bits, "grams", F.posexplode(F.slice("grams", 1, F.col("prefix"))).alias("at", "gram"))
+    postings = written(placed.select("gram", *fields, F.get("grams", F.col("at") - 1).alias("before"), F.get("grams", F.col("at") - 2).alias("before2")))
+    lists = written(mixed_lists(postings, components(edges)))
+    row, draw = F.struct(*fields, "component", "before", "before2"), F.xxhash64("key", "gram")
+    mains = lists.filter(F.col("component") == F.col("main")).groupBy("gram").agg(F.array_distinct(F.array(F.min_by(row, draw), F.max_by(row, draw))).alias("p"))
+    mains = mains.select("gram", F.explode("p").alias("p")).select("gram", "p.*")
+    other = lists.filter(F.col("component") != F.col("main"))
+    met = other.alias("a").join(mains.alias("b"), F.col("a.gram") == F.col("b.gram")).filter(first_shared("a", "b") & may_link("a", "b", percent))
+    edges = written(edges.unionByName(linked(as_pairs(met), sets, percent)))
+
+    lists = written(mixed_lists(postings, components(edges)))
+    other = lists.filter(F.col("component") != F.col("main"))
     crossing = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.key") < F.col("b.key")))
-    met = other.alias("a").join(left.alias("b"), F.col("a.gram") == F.col("b.gram")).filter(crossing & may_link("a", "b", percent))
+    met = other.alias("a").join(lists.alias("b"), F.col("a.gram") == F.col("b.gram")).filter(crossing & first_shared("a", "b") & may_link("a", "b", percent))
     return components(edges.unionByName(linked(as_pairs(met), sets, percent)))
 
 

@@ -25,7 +25,7 @@ DECAY = 0.6
 #: Units less alike than this to every landmark count as nothing.
 ALIKE = 0.5
 #: Least surprise of a unit that marks toxic documents.
-SURPRISE = 12.0
+SURPRISE = 8.0
 GONE, WHITE = 255, 254
 
 
@@ -108,8 +108,12 @@ class Landmarks:
         row = self.row[code]
         hit = row >= 0
         word, row, weight = word[hit], row[hit], weight[hit]
-        for i in range(0, len(word), 1 << 16):
-            np.add.at(out, word[i : i + (1 << 16)], self.table[row[i : i + (1 << 16)]] * weight[i : i + (1 << 16), None].astype(np.float32))
+        most = max(1, (1 << 22) // max(1, len(self.words)))
+        for i in range(0, len(word), most):
+            own = word[i : i + most]
+            cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            values = self.table[row[i : i + most]] * weight[i : i + most, None].astype(np.float32)
+            out[own[cuts]] += np.add.reduceat(values, cuts)
         return out
 
     def alike(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -183,10 +187,20 @@ def surprise(n1: int, n0: int, chance: float) -> float:
 
 
 def choose_landmarks(counts: list[tuple[bytes, int, int]], positives: int, negatives: int, insults: int, others: int) -> Landmarks | None:
-    """Units that mark toxic documents, none too like an earlier one, and clean units that are most like them."""
+    """Units that mark toxic documents, none too like an earlier one, and clean units that are most like them.
+
+    Its own counts or those of all units ALIKE to it must be more than chance explains.
+    """
     share = lambda n, of: (n + 0.5) / (of + 1)
+    maybe = [u for u, n1, n0 in counts if n1 >= 2 and share(n1, positives) > 4 * share(n0, negatives)]
+    if not maybe:
+        return None
     chance = positives / (positives + negatives)
-    marked = [(n1 * np.log(share(n1, positives) / share(n0, negatives)), u) for u, n1, n0 in counts if share(n1, positives) > 4 * share(n0, negatives) and surprise(n1, n0, chance) >= SURPRISE]
+    near = Landmarks(maybe).kernel([u for u, _, _ in counts]) >= ALIKE
+    toxic, clean = (np.array([c[k] for c in counts]) @ near for k in (1, 2))
+    own = {u: (n1, n0) for u, n1, n0 in counts}
+    evidence = lambda n1, n0: n1 * np.log(share(n1, positives) / share(n0, negatives)) if share(n1, positives) > 4 * share(n0, negatives) and surprise(n1, n0, chance) >= SURPRISE else 0.0
+    marked = [(best, u) for u, n1, n0 in zip(maybe, toxic, clean) if (best := max(evidence(*own[u]), evidence(n1, n0))) > 0]
     marked = [u for _, u in sorted(marked, key=lambda m: (-m[0], m[1]))]
     if not marked:
         return None
@@ -210,8 +224,8 @@ def toxicity_scorer(docs: DataFrame, labels: DataFrame, per_class: int = 3000, i
 
     Fits on at most ``per_class`` rows of either label. Landmarks are units that toxic rows hold far
     more often. A sentence's features are the best kernel values of its units, by Nyström's map; a
-    toxic document's most toxic sentence, chosen anew in each round, is its positive example, all
-    sentences of clean documents are negative. The highest margin of a document's sentences gives
+    toxic document's sentences with an ALIKE unit are positive examples, in later rounds those that
+    the machine takes for toxic and the most toxic one; all sentences of clean documents are negative. The highest margin of a document's sentences gives
     its score. The score reads the text alone, every sentence of it; a null or empty text has none
     and gets the score of a harmless one; repeated rows score alike; without labelled rows of both
     kinds every score is the share of toxic labels (0 if there are none).
@@ -228,8 +242,8 @@ def toxicity_scorer(docs: DataFrame, labels: DataFrame, per_class: int = 3000, i
     (positives, heavy), (negatives, light) = sums.get(1, (0, 0.0)), sums.get(0, (0, 0.0))
     counted = sample.select("label", F.explode(distinct_units(F.col("text"))).alias("unit")).groupBy("unit").agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0"))
     ratio = (F.col("n1") + 0.5) / (positives + 1) / ((F.col("n0") + 0.5) / (negatives + 1))
-    marks = counted.filter((F.col("n1") >= 2) & (ratio > 4)).orderBy(F.desc(F.col("n1") * F.log(ratio)), "unit").limit(2000)
-    plain = counted.filter((F.col("n0") >= 2) & (ratio < 2)).orderBy(F.desc("n0"), "unit").limit(4000)
+    marks = counted.filter((F.col("n1") >= 2) & (ratio > 4)).orderBy(F.desc(F.col("n1") * F.log(ratio)), "unit").limit(1000)
+    plain = counted.filter((F.col("n0") >= 2) & (ratio < 2)).orderBy(F.desc("n0"), "unit").limit(3000)
     found = sorted({(bytes(r["unit"]), r["n1"], r["n0"]) for r in marks.unionByName(plain).collect()}) if positives and negatives else []
     landmarks = choose_landmarks(found, positives, negatives, insults, others)
     if landmarks is None:
@@ -249,14 +263,15 @@ def toxicity_scorer(docs: DataFrame, labels: DataFrame, per_class: int = 3000, i
     mapped = nystrom(landmarks)
     clean = [k for k in range(len(bags)) if label[k] == 0]
     toxic = [k for k in range(len(bags)) if label[k] == 1 and len(own[k]) > 1]
-    beta, offset = np.ones(m), 0.0
+    negative, light = np.vstack([np.zeros((0, m)), *(own[k] for k in clean)]), np.repeat([weight[k] for k in clean], [len(own[k]) for k in clean])
+    chosen = [np.ones(len(own[k]) - 1, bool) for k in toxic]
     for _ in range(4):
-        best = [own[k][1 + int((own[k][1:] @ beta).argmax())] for k in toxic]
-        x = np.vstack([own[k] for k in clean] + best)
-        y = np.concatenate([-np.ones(len(x) - len(best)), np.ones(len(best))])
-        w = np.concatenate([np.repeat([weight[k] for k in clean], [len(own[k]) for k in clean]), [weight[k] for k in toxic]])
-        plane, offset = fit_machine(x @ mapped, y, w)
+        positive = np.vstack([np.zeros((0, m)), *(own[k][1:][c] for k, c in zip(toxic, chosen))])
+        heavy = np.repeat([weight[k] for k in toxic], [c.sum() for c in chosen])
+        plane, offset = fit_machine(np.vstack([negative, positive]) @ mapped, np.repeat([-1.0, 1.0], [len(negative), len(positive)]), np.concatenate([light, heavy]))
         beta = mapped @ plane
+        margins = [own[k][1:] @ beta + offset for k in toxic]
+        chosen = [(v > 0) | (v == v.max()) for v in margins]
     margin = np.array([float((rows @ beta).max()) + offset for rows in own])
     slope, base = fit_logistic(margin, label, weight)
 

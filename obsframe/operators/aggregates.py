@@ -115,16 +115,16 @@ def insights(df: DataFrame, long: DataFrame, trend: DataFrame, keys=("entity_id"
     k = list(keys)
     wide = coverage(df, keys).join(vec, k).join(spread, k).join(trend.select(*k, "direction"), k)
     lines = {
-        "VOLUME": F.format_string("%d historical records are available.", "n_records"),
+        "VOLUME": F.format_string("%d observations on record.", "n_records"),
         "COVERAGE": F.format_string(
-            "Calendar coverage is %.2f%% with %d missing day(s).", "coverage_pct", "missing_days"
+            "%.2f%% of the calendar is covered; days without an observation: %d.", "coverage_pct", "missing_days"
         ),
         "DIGIT": F.format_string(
-            "Digit %d has the highest observed frequency; digit %d has the lowest.",
+            "Most frequent digit: %d, least frequent: %d.",
             "top_digit", "low_digit",
         ),
-        "TREND": F.format_string("Row-mean trend direction is %s.", "direction"),
-        "VARIABILITY": F.format_string("Maximum column standard deviation is %.4f.", "spread"),
+        "TREND": F.format_string("Over time the mean of a row goes %s.", "direction"),
+        "VARIABILITY": F.format_string("Widest spread of a position (standard deviation): %.4f.", "spread"),
     }
     rows = [F.struct(F.lit(a).alias("kind"), b.alias("message")) for a, b in lines.items()]
     return wide.select(*keys, F.inline(F.array(*rows)))

@@ -18,12 +18,15 @@ def _dates(df: DataFrame, keys, date: str) -> DataFrame:
 
 def ratio_split(df: DataFrame, keys=("entity_id",), date: str = "obs_date", train: float = 0.7,
                 validation: float = 0.15, min_train: int = 100) -> DataFrame:
-    """Chronological train / validation / test label of every row; short keys stay unsplit."""
+    """Chronological train / validation / test label of every row.
+
+    Training takes ``min_train`` dates at least, validation one; keys that leave no test date stay unsplit.
+    """
     rows = df.join(_dates(df, keys, date), [*keys, date])
     i, n = F.col("i"), F.col("n")
-    first = F.floor(n * train)
-    second = first + F.floor(n * validation)
-    label = F.when(first < min_train, "INSUFFICIENT").when(i < first, "TRAIN").when(i < second, "VALIDATION").otherwise("TEST")
+    first = F.greatest(F.lit(min_train), F.floor(n * train))
+    second = first + F.greatest(F.lit(1), F.floor(n * validation))
+    label = F.when((n < min_train + 3) | (second >= n), "INSUFFICIENT").when(i < first, "TRAIN").when(i < second, "VALIDATION").otherwise("TEST")
     return rows.withColumn("split", label).drop("i", "n")
 
 

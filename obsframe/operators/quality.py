@@ -18,7 +18,7 @@ def _false(c: Column) -> Column:
 def record_checks(df: DataFrame) -> DataFrame:
     """VALID or INVALID with the first failing rule of every record."""
     rules = [
-        ("INVALID_ENTITY", _false(F.col("entity_id") >= 0)),
+        ("INVALID_ENTITY", _false(F.col("entity_id") > 0)),
         ("MISSING_DATE", F.col("obs_date").isNull()),
         *[(f"INVALID_{c.upper()}", _false(valid_code(F.col(c), len(p)))) for c, p in CODES.items()],
         *[(f"INVALID_DIGIT_{p.upper()}", _false(F.col(p).between(0, 9))) for p in POSITIONS],
@@ -233,11 +233,21 @@ def challengers(scores: DataFrame, champion: str, min_score: float = 0.8, keys=(
 
 
 def retraining_decision(evidence: DataFrame, rules: DataFrame, keys=("model",)) -> DataFrame:
-    """RETRAIN when any evidence meets its rule's threshold and run length."""
-    hit = (F.abs("value") >= F.col("threshold")) & (F.col("periods") >= F.col("min_periods"))
-    joined = evidence.join(F.broadcast(rules), "metric", "left").withColumn("qualifies", F.coalesce(hit, F.lit(False)))
+    """RETRAIN when any triggered evidence meets its rule, or has no enabled rule.
+
+    ``evidence``: keys, source_type, metric, latest_value, baseline_value,
+    consecutive_periods, triggered. ``rules``: source_type, metric, threshold,
+    min_consecutive_periods, enabled. A rule asks for that many periods and a
+    change of the threshold at least (1e-12 counts as equal).
+    """
+    named = ["source_type", "metric"]
+    active = rules.where("enabled").select(*named, "threshold", "min_consecutive_periods", F.lit(True).alias("ruled"))
+    change = F.abs(F.col("latest_value") - F.col("baseline_value")) - F.col("threshold")
+    meets = (F.col("consecutive_periods") >= F.col("min_consecutive_periods")) & (change >= -1e-12)
+    joined = evidence.join(active, named, "left").withColumn("qualifies", F.col("triggered") & (F.col("ruled").isNull() | meets))
     return joined.groupBy(*keys).agg(
         F.count("*").alias("n_evidence"), F.count_if("qualifies").alias("n_qualifying"),
+        F.count_if(F.col("triggered") & ~F.col("qualifies")).alias("n_supporting"),
         F.when(F.max("qualifies"), "RETRAIN").otherwise("HOLD").alias("decision"),
     )
 
@@ -246,22 +256,23 @@ def feedback(scored: DataFrame, keys=("entity_id",), top_k: int = 3, recent: int
              min_accuracy: float = 0.5) -> DataFrame:
     """Per-prediction outcome with recent accuracy, miss streak and retrain flag.
 
-    The streak counts misses since the last hit: row number less the row number
-    of the last hit so far.
+    Correct is the first rank. Low accuracy, a long streak or a miss whose error
+    is diagnosed (the actual is among the ``top_k``) each ask for retraining by
+    itself. The streak counts misses since the last hit: row number less the row
+    number of the last hit so far.
     """
     w = history(*keys, date="target_date")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    hit = F.coalesce(F.col("actual_rank") <= top_k, F.lit(False))
-    step = scored.withColumn("hit", hit).withColumn("rn", F.row_number().over(w))
-    last_hit = F.coalesce(F.max(F.when(F.col("hit"), F.col("rn"))).over(upto), F.lit(0))
+    rank = F.col("actual_rank")
+    correct, hit = F.coalesce(rank == 1, F.lit(False)), F.coalesce(rank <= top_k, F.lit(False))
+    step = scored.withColumns({"correct": correct, "top_k_hit": hit, "rn": F.row_number().over(w)})
+    last_hit = F.coalesce(F.max(F.when(F.col("correct"), F.col("rn"))).over(upto), F.lit(0))
     step = step.withColumns(
         {
             "miss_streak": F.col("rn") - last_hit,
-            "recent_accuracy": F.avg(F.col("hit").cast("double")).over(w.rowsBetween(-(recent - 1), 0)),
-            "error_source": F.when(F.col("hit"), "NONE").when(F.col("actual_rank").isNull(), "OUTSIDE_RANKING").otherwise("RANKING"),
+            "recent_accuracy": F.avg(F.col("correct").cast("double")).over(w.rowsBetween(-(recent - 1), 0)),
+            "error_source": F.when(F.col("correct"), "none").when(F.col("top_k_hit"), "ranking").otherwise("unknown"),
         }
     ).drop("rn")
-    return step.withColumn(
-        "decision",
-        F.when((F.col("miss_streak") >= streak) & (F.col("recent_accuracy") < min_accuracy), "RETRAIN").otherwise("HOLD"),
-    )
+    asked = (F.col("recent_accuracy") < min_accuracy) | (F.col("miss_streak") >= streak) | (F.col("error_source") == "ranking")
+    return step.withColumn("decision", F.when(asked, "RETRAIN").otherwise("HOLD"))

@@ -202,15 +202,15 @@ def family_violations(ranking: DataFrame, dim: DataFrame, keys) -> DataFrame:
     )
 
 
-def outcomes(df: DataFrame, source: str, actual: str, ranked: str = "ranked", keys=("entity_id", "obs_date")) -> DataFrame:
-    """Rank, reciprocal rank and probabilities of the actual in each ranking."""
+def outcomes(df: DataFrame, source: str, actual: str, ranked: str = "ranked", keys=("entity_id", "obs_date"), shown: int = 20) -> DataFrame:
+    """Rank and reciprocal rank of the actual in each ranking, and probabilities of the first and the ``shown`` first."""
     rank = F.nullif(F.array_position(F.transform(ranked, lambda c: c["code"]), F.col(actual)), F.lit(0))
     return df.select(
         F.lit(source).alias("source_type"), F.col(keys[0]).alias("group_id"), F.col(keys[1]).alias("target_date"),
         F.col(actual).alias("actual"), rank.cast("int").alias("actual_rank"),
         F.coalesce(1.0 / rank, F.lit(0.0)).alias("reciprocal_rank"),
         (-F.get(ranked, F.lit(0))["m"] / F.col(f"{ranked}_mass")).alias("top_prob"),
-        (_mass(ranked) / F.col(f"{ranked}_mass")).alias("cum_prob"),
+        (_mass(F.slice(ranked, 1, shown)) / F.col(f"{ranked}_mass")).alias("cum_prob"),
     ).withColumn("bucket", rank_bucket(F.col("actual_rank")))
 
 

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from obsframe import layout as L
 from obsframe.functions import stats as S
 from obsframe.operators.scans import history, prior
-from obsframe.session import broadcast_if_small
 
 IDS = ("entity_id", "obs_date")
 SERIES = ("entity_id", "position")
@@ -506,7 +505,7 @@ def periods(df: DataFrame, keys, days: int = L.PERIOD_DAYS, date: str = "target_
     keys = list(keys)
     anchor = df.groupBy(*keys).agg(F.min(date).alias("_anchor"))
     if keys:
-        out = df.join(broadcast_if_small(anchor), keys)
+        out = df.join(anchor, keys)
     else:
         out = df.join(F.broadcast(anchor))
     index = F.floor(F.datediff(date, "_anchor") / days).cast("int")

@@ -20,7 +20,7 @@ from obsframe.plans.rankings import F0, FV, MK, OCP, PR, PW, both_models, featur
 
 register(
     "q01_ratio_split", lambda t: B.ratio_split(t.obs.select("entity_id", "obs_date")),
-    q(f"SELECT entity_id, {day('obs_date')}, CASE WHEN f < 100 THEN 'INSUFFICIENT' WHEN i < f THEN 'TRAIN' WHEN i < f + g THEN 'VALIDATION' ELSE 'TEST' END AS split FROM (SELECT *, floor(n * 0.7::DOUBLE) AS f, floor(n * 0.15::DOUBLE) AS g FROM (SELECT entity_id, obs_date, row_number() OVER {ENT}) - 1 AS i, count(*) OVER (PARTITION BY entity_id) AS n FROM obs))"),
+    q(f"SELECT entity_id, {day('obs_date')}, CASE WHEN n < 103 OR f + g >= n THEN 'INSUFFICIENT' WHEN i < f THEN 'TRAIN' WHEN i < f + g THEN 'VALIDATION' ELSE 'TEST' END AS split FROM (SELECT *, greatest(100, floor(n * 0.7::DOUBLE)) AS f, greatest(1, floor(n * 0.15::DOUBLE)) AS g FROM (SELECT entity_id, obs_date, row_number() OVER {ENT}) - 1 AS i, count(*) OVER (PARTITION BY entity_id) AS n FROM obs))"),
 )
 FOLDS = f"""dx AS (SELECT entity_id, obs_date, row_number() OVER {ENT}) - 1 AS i, count(*) OVER (PARTITION BY entity_id) AS n FROM obs),
 fo AS (SELECT s.entity_id, CAST((s.i - 100) // 60 + 1 AS INTEGER) AS fold, min(a.obs_date) AS train_start, max(a.obs_date) FILTER (a.i < s.i) AS train_end, any_value(s.obs_date) AS test_start, max(a.obs_date) FILTER (a.i < s.i + 60) AS test_end
@@ -84,7 +84,7 @@ def damaged(t):
     )
 
 
-MSG = "CASE WHEN p6 = 4 THEN 'INVALID_TAIL' WHEN p1 = 2 THEN 'INVALID_DIGIT_P3' WHEN p5 = 8 THEN 'MISMATCH_PAIR' END"
+MSG = "CASE WHEN entity_id <= 0 THEN 'INVALID_ENTITY' WHEN p6 = 4 THEN 'INVALID_TAIL' WHEN p1 = 2 THEN 'INVALID_DIGIT_P3' WHEN p5 = 8 THEN 'MISMATCH_PAIR' END"
 register(
     "r01_record_checks", lambda t: Q.record_checks(damaged(t)),
     q(f"SELECT obs_id, entity_id, {day('obs_date')}, CASE WHEN {MSG} IS NULL THEN 'VALID' ELSE 'INVALID' END AS status, {MSG} AS message FROM obs"),
@@ -237,16 +237,30 @@ register(
     lambda t: Q.challengers(healths(t).select("model", "year", F.col("health_score").alias("score"), "status"), "frequency", 0.5, ("year",)),
     q(f"SELECT c.model, c.year, {r('c.s', 'score')}, c.status, {r('b.s', 'champion_score')}, {r('c.s - b.s', 'improvement')}, CASE WHEN c.s >= 0.5 AND c.status = 'HEALTHY' AND c.s > b.s THEN 'PROMOTE' ELSE 'HOLD' END AS decision, CAST(1 AS INTEGER) AS preference FROM hl c JOIN hl b ON b.year = c.year AND b.model = 'frequency' WHERE c.model <> 'frequency'", MK, F0, YR, HL),
 )
+def evidence(t):
+    """Three kinds of evidence a model and year: under a rule, without one, under a disabled one."""
+    item = lambda metric, latest, base, periods, hit: F.struct(F.lit(metric).alias("metric"), latest.cast("double").alias("latest_value"), F.lit(base).alias("baseline_value"), periods.cast("int").alias("consecutive_periods"), hit.alias("triggered"))
+    loss, year = F.col("log_loss"), F.col("year")
+    items = F.array(
+        item("log_loss", loss, 1.6, year - 1994, loss > 1.65), item("unruled", year, 1990.0, F.lit(1), (year == 1996) & (F.col("model") == "frequency")),
+        item("paused", loss, 0.0, F.lit(9), (year == 1997) & (F.col("model") == "frequency")),
+    )
+    return yearly(t).select("model", "year", F.lit("monitor").alias("source_type"), F.inline(items))
+
+
 register(
     "o19_retraining_decision",
     lambda t: Q.retraining_decision(
-        yearly(t).select("model", F.lit("log_loss").alias("metric"), F.col("log_loss").alias("value"), F.col("year").alias("periods")),
-        t.spark.createDataFrame([("log_loss", 1.7, 1999)], "metric string, threshold double, min_periods int")),
-    q("SELECT model, count(*) AS n_evidence, count(*) FILTER (log_loss >= 1.7 AND year >= 1999) AS n_qualifying, CASE WHEN count(*) FILTER (log_loss >= 1.7 AND year >= 1999) > 0 THEN 'RETRAIN' ELSE 'HOLD' END AS decision FROM yr GROUP BY 1", MK, F0, YR),
+        evidence(t), t.spark.createDataFrame([("monitor", "log_loss", 0.1, 4, True), ("monitor", "paused", 99.0, 99, False)],
+                                             "source_type string, metric string, threshold double, min_consecutive_periods int, enabled boolean"), ("model", "year")),
+    q("""SELECT model, year, count(*) AS n_evidence, count(*) FILTER (ok) AS n_qualifying, count(*) FILTER (hit AND NOT ok) AS n_supporting, CASE WHEN bool_or(ok) THEN 'RETRAIN' ELSE 'HOLD' END AS decision
+      FROM (SELECT model, year, log_loss > 1.65 AS hit, log_loss > 1.65 AND year - 1994 >= 4 AND abs(log_loss - 1.6::DOUBLE) >= 0.1::DOUBLE AS ok FROM yr
+        UNION ALL SELECT model, year, year = 1996 AND model = 'frequency', year = 1996 AND model = 'frequency' FROM yr
+        UNION ALL SELECT model, year, year = 1997 AND model = 'frequency', year = 1997 AND model = 'frequency' FROM yr) GROUP BY 1, 2""", MK, F0, YR),
 )
-FB = f"""fb AS (SELECT *, row_number() OVER w AS rn FROM (SELECT *, coalesce(actual_rank <= 3, false) AS hit FROM oc) WINDOW w AS (PARTITION BY group_id ORDER BY target_date)),
+FB = f"""fb AS (SELECT *, row_number() OVER w AS rn FROM (SELECT *, coalesce(actual_rank = 1, false) AS hit, coalesce(actual_rank <= 3, false) AS near FROM oc) WINDOW w AS (PARTITION BY group_id ORDER BY target_date)),
 fc AS (SELECT *, rn - coalesce(max(CASE WHEN hit THEN rn END) OVER (PARTITION BY group_id ORDER BY target_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS ms, avg(hit::INTEGER) OVER (PARTITION BY group_id ORDER BY target_date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS acc FROM fb)"""
 register(
-    "o20_feedback", lambda t: Q.feedback(pair_outcomes(t), ("group_id",)).select("group_id", "target_date", "actual_rank", "hit", "miss_streak", "recent_accuracy", "error_source", "decision"),
-    q(f"SELECT group_id, {day('target_date')}, actual_rank, hit, CAST(ms AS INTEGER) AS miss_streak, {r('acc', 'recent_accuracy')}, CASE WHEN hit THEN 'NONE' WHEN actual_rank IS NULL THEN 'OUTSIDE_RANKING' ELSE 'RANKING' END AS error_source, CASE WHEN ms >= 2 AND acc < 0.5 THEN 'RETRAIN' ELSE 'HOLD' END AS decision FROM fc", MK, PW, PR, OCP, FB),
+    "o20_feedback", lambda t: Q.feedback(pair_outcomes(t), ("group_id",)).select("group_id", "target_date", "actual_rank", "correct", "top_k_hit", "miss_streak", "recent_accuracy", "error_source", "decision"),
+    q(f"SELECT group_id, {day('target_date')}, actual_rank, hit AS correct, near AS top_k_hit, CAST(ms AS INTEGER) AS miss_streak, {r('acc', 'recent_accuracy')}, CASE WHEN hit THEN 'none' WHEN near THEN 'ranking' ELSE 'unknown' END AS error_source, CASE WHEN ms >= 2 OR acc < 0.5 OR (near AND NOT hit) THEN 'RETRAIN' ELSE 'HOLD' END AS decision FROM fc", MK, PW, PR, OCP, FB),
 )

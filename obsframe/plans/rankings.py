@@ -21,6 +21,7 @@ from obsframe.session import cut_lineage
 
 ID = ("entity_id", "obs_date")
 TAILS, PAIRS = K.tail_candidates(), K.pair_candidates()
+#: Codes of a ranking that are shown; the rank of the actual is over all of them.
 DEPTH = 20
 
 
@@ -66,8 +67,8 @@ def tail_ranks(t, k=DEPTH):
 def outcome_rows(t):
     """Outcomes of the two-digit and the three-digit rankings of every target."""
     wide = predictions(t, ("p4", "p5", "p6", "p7", "p8"))
-    pair = K.outcomes(K.rank_codes(wide, ["q4", "q5"], PAIRS, DEPTH), "pair", "pair")
-    tail = K.outcomes(K.rank_codes(wide, ["q6", "q7", "q8"], TAILS, DEPTH), "tail", "tail")
+    pair = K.outcomes(K.rank_codes(wide, ["q4", "q5"], PAIRS, len(PAIRS)), "pair", "pair", shown=DEPTH)
+    tail = K.outcomes(K.rank_codes(wide, ["q6", "q7", "q8"], TAILS, len(TAILS)), "tail", "tail", shown=DEPTH)
     return pair.unionByName(tail)
 
 
@@ -104,7 +105,7 @@ BUCKET = "CASE WHEN actual_rank IS NULL THEN 'UNAVAILABLE' WHEN actual_rank = 1
 
 def oc(name: str, col: str) -> str:
     return f"""SELECT '{col}' AS source_type, o.entity_id AS group_id, o.obs_date AS target_date, o.{col} AS actual,
-  CAST(max(k.rank) FILTER (k.code = o.{col} AND k.rank <= {DEPTH}) AS INTEGER) AS actual_rank, coalesce(1.0::DOUBLE / max(k.rank) FILTER (k.code = o.{col} AND k.rank <= {DEPTH}), 0) AS reciprocal_rank,
+  CAST(max(k.rank) FILTER (k.code = o.{col}) AS INTEGER) AS actual_rank, coalesce(1.0::DOUBLE / max(k.rank) FILTER (k.code = o.{col}), 0) AS reciprocal_rank,
   max(k.prod) / sum(k.prod ORDER BY k.rank) AS top_prob, sum(k.prod ORDER BY k.rank) FILTER (k.rank <= {DEPTH}) / sum(k.prod ORDER BY k.rank) AS cum_prob
   FROM obs o JOIN {name} k ON o.entity_id = k.entity_id AND o.obs_date = k.obs_date GROUP BY 1, 2, 3, 4"""
 
@@ -408,7 +409,7 @@ register("o11_feature_drift", lambda t: E.data_drift(feature_values(t), 28), q(D
 
 
 def pair_outcomes(t):
-    return K.outcomes(pair_ranks(t), "pair", "pair")
+    return K.outcomes(pair_ranks(t, len(PAIRS)), "pair", "pair", shown=DEPTH)
 
 
 OCP = f"oc AS (SELECT *, {BUCKET} AS bucket FROM ({oc('pr', 'pair')}))"

@@ -71,10 +71,10 @@ register(
 register(
     "e09_insights", lambda t: A.insights(t.obs, t.long, sc.row_mean_trend(t.obs)),
     q("""SELECT entity_id, kind, message FROM (SELECT c.entity_id, unnest(['VOLUME', 'COVERAGE', 'DIGIT', 'TREND', 'VARIABILITY']) AS kind,
-      unnest([n_records || ' historical records are available.',
-        printf('Calendar coverage is %.2f%% with %d missing day(s).', n_dates * 100.0::DOUBLE / calendar_days, greatest(calendar_days - n_dates, 0)),
-        'Digit ' || top || ' has the highest observed frequency; digit ' || low || ' has the lowest.',
-        'Row-mean trend direction is ' || direction || '.', printf('Maximum column standard deviation is %.4f.', spread)]) AS message
+      unnest([n_records || ' observations on record.',
+        printf('%.2f%% of the calendar is covered; days without an observation: %d.', n_dates * 100.0::DOUBLE / calendar_days, greatest(calendar_days - n_dates, 0)),
+        'Most frequent digit: ' || top || ', least frequent: ' || low || '.',
+        'Over time the mean of a row goes ' || direction || '.', printf('Widest spread of a position (standard deviation): %.4f.', spread)]) AS message
       FROM cover c JOIN ext USING (entity_id) JOIN trend USING (entity_id) JOIN spread USING (entity_id))""",
       FREQ, COVER,
       """ext AS (SELECT entity_id, arg_min(digit, (-n, digit)) AS top, arg_min(digit, (n, digit)) AS low FROM (SELECT entity_id, digit, sum(n) AS n FROM freq GROUP BY 1, 2) GROUP BY 1)""",

@@ -1,12 +1,9 @@
-"""Session settings, lineage cuts and size-checked broadcasts."""
+"""Session settings and lineage cuts."""
 
 import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 200_000
 
 
 def local_session(cores: str = "*", name: str = "obsframe") -> SparkSession:
@@ -41,12 +38,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="obsframe-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when ``df`` is shown to hold at most ``max_rows``.
-
-    Larger sides are returned unhinted, so the join shuffles (and AQE may still
-    split a skewed partition).
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

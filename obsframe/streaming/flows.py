@@ -70,16 +70,19 @@ def complete_stages(events: DataFrame, watermark: str = "30 days") -> DataFrame:
 
     ``events``: entity_id, obs_date, stage, head, pair_first, pair_second, tail,
     event_time. A re-sent stage 1 replaces the pending one; a completed key is
-    final; a key idle beyond the watermark is dropped.
+    final; a key is forgotten once the watermark passes its last event by the
+    watermark's own delay.
     """
+    delay = int(pd.Timedelta(watermark).total_seconds() * 1000)
 
     def step(key, batches, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        head, first, done = state.get if state.exists else (None, None, False)
+        head, first, done, last = state.get if state.exists else (None, None, False, 0)
         for pdf in batches:
             for row in pdf.sort_values(["event_time", "stage"]).itertuples():
+                last = max(last, int(row.event_time.timestamp() * 1000))
                 if done:
                     continue
                 if row.stage == 1:
@@ -90,12 +93,12 @@ def complete_stages(events: DataFrame, watermark: str = "30 days") -> DataFrame:
                         [(key[0], key[1], head, first + row.pair_second, row.tail)],
                         columns=["entity_id", "obs_date", "head", "pair", "tail"],
                     )
-        state.update((head, first, done))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 30 * 86_400_000)
+        state.update((head, first, done, last))
+        state.setTimeoutTimestamp(max(last + delay, state.getCurrentWatermarkMs() + 1))
 
     return (
         events.withWatermark("event_time", watermark).groupBy("entity_id", "obs_date")
-        .applyInPandasWithState(step, COMPLETED, "head string, pair_first string, done boolean", "append",
+        .applyInPandasWithState(step, COMPLETED, "head string, pair_first string, done boolean, last long", "append",
                                 GroupStateTimeout.EventTimeTimeout)
     )
 

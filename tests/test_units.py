@@ -186,6 +186,27 @@ def test_stage_completion_keeps_latest_pending_and_first_final(spark, tmp_path):
     assert [(r.entity_id, r.head, r.pair, r.tail) for r in got] == [(1, "222", "29", "333")]
 
 
+def test_stage_completion_over_single_file_batches(spark, tmp_path):
+    """Stages that arrive in different micro-batches still meet, and a completed key stays final."""
+    from datetime import datetime
+
+    from obsframe.streaming import complete_stages
+
+    schema = "entity_id int, obs_date date, stage int, head string, pair_first string, pair_second string, tail string, event_time timestamp"
+    at = lambda m: datetime(2024, 1, 1, 10, m)
+    batches = [
+        [(k, START, 1, str(k) * 3, "1", None, None, at(k)) for k in (1, 2, 3)], [(1, START, 2, None, None, "9", "333", at(4))],
+        [(2, START, 2, None, None, "8", "444", at(5))], [(1, START, 2, None, None, "7", "555", at(6))],
+    ]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/batch={k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    query = complete_stages(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("entity_id").collect()
+    assert [(r.entity_id, r.head, r.pair, r.tail) for r in got] == [(1, "111", "19", "333"), (2, "222", "18", "444")]
+
+
 def test_replay_appends_feedback(spark, tmp_path):
     from obsframe.operators.probabilities import markov_table, with_context
     from obsframe.streaming import replay

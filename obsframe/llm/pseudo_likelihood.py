@@ -75,39 +75,41 @@ def contexts(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
+def softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities (in the place of ``x``) and the log-probability of each row's target."""
     x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+    log = x[np.arange(len(x)), target]
+    np.exp(x, out=x)
+    total = x.sum(axis=1)
+    x /= total[:, None]
+    return x, log - np.log(total)
 
 
 def predict(w: Weights, around: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
     """Log-probabilities of the targets, exact over the whole vocabulary, with what the gradient needs."""
-    inputs = w["embed"][around].reshape(len(around), -1)
+    inputs = w["embed"].take(around.ravel(), axis=0).reshape(len(around), -1)
     hidden = np.tanh(inputs @ w["place"] + w["bias"])
-    major, minor, rows = target // CLASS, target % CLASS, np.arange(len(target))
-    first = log_softmax(hidden @ w["class"] + w["class_bias"])
+    major, minor = np.divmod(target, CLASS)
+    first, log_first = softmax(hidden @ w["class"] + w["class_bias"], major)
     mixed = hidden + w["given"][major]
-    second = log_softmax(mixed @ w["word"] + w["word_bias"])
-    return {"inputs": inputs, "hidden": hidden, "first": first, "mixed": mixed, "second": second, "log": first[rows, major] + second[rows, minor]}
+    second, log_second = softmax(mixed @ w["word"] + w["word_bias"], minor)
+    return {"inputs": inputs, "hidden": hidden, "first": first, "mixed": mixed, "second": second, "log": log_first + log_second}
 
 
 def added(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     """Sums of ``values`` by row number."""
-    order = np.argsort(rows, kind="stable")
-    own = rows[order]
-    cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    out = np.zeros((size, values.shape[1]), np.float32)
-    out[own[cuts]] = np.add.reduceat(values[order], cuts)
-    return out
+    width = values.shape[1]
+    cells = (rows[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(cells, values.ravel(), size * width).reshape(size, width).astype(np.float32)
 
 
 def gradients(w: Weights, around: np.ndarray, target: np.ndarray) -> Weights:
     f, rows, n = predict(w, around, target), np.arange(len(target)), np.float32(1 / len(target))
-    major, minor = target // CLASS, target % CLASS
-    d_first, d_second = np.exp(f["first"]) * n, np.exp(f["second"]) * n
-    d_first[rows, major] -= n
-    d_second[rows, minor] -= n
+    major, minor = np.divmod(target, CLASS)
+    d_first, d_second = f["first"], f["second"]
+    for own, at in ((d_first, major), (d_second, minor)):
+        own[rows, at] -= 1
+        own *= n
     d_mixed = d_second @ w["word"].T
     d_hidden = (d_mixed + d_first @ w["class"].T) * (1 - f["hidden"] ** 2)
     d_inputs = (d_hidden @ w["place"].T).reshape(-1, DEPTH)

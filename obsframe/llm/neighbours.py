@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,15 +13,25 @@ from pyspark.sql import types as T
 
 from obsframe.llm.tables import struct, written
 
-#: Neighbours of a node, and links from others that it looks at besides.
-DEGREE, BACK = 20, 20
+#: Neighbours of a node (and links from others that it looks at besides) and nodes that a search keeps for each
+#: query, up to FEW nodes; beyond, they grow with the 4th and the square root of the number of nodes.
+DEGREE, BEAM, FEW = 20, 192, 10_000
 #: Rows of a block in which the first graph is found, and orders in which blocks are cut.
 BLOCK, ORDERS = 256, 8
-TURNS, SETTLED = 6, 0.01
-#: Nodes that a search keeps for each query, and that it expands in a turn.
-BEAM, WIDTH = 192, 64
+#: A graph is done when under SETTLED of its links change in a turn; LIMIT turns without that are an error.
+SETTLED, LIMIT = 0.01, 100
+#: Edges that a task holds before it drops those that cannot be in the graph.
+HELD = 2_000_000
 PAIR = struct(query=T.LongType(), node=T.LongType(), distance=T.DoubleType())
-EDGE = struct(node=T.LongType(), other=T.LongType(), distance=T.FloatType())
+EDGE = struct(node=T.LongType(), other=T.LongType(), distance=T.DoubleType())
+
+
+def degree_of(nodes: int) -> int:
+    return math.ceil(DEGREE * max(1.0, nodes / FEW) ** 0.25)
+
+
+def beam_of(nodes: int) -> int:
+    return math.ceil(BEAM * max(1.0, nodes / FEW) ** 0.5)
 
 
 @F.arrow_udf(T.BinaryType())
@@ -35,14 +46,31 @@ def packed(vector: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.BinaryType())
 def shortened(vector: pa.Array) -> pa.Array:
-    """The same as 32-bit floats, enough to build a graph with."""
+    """The same as 32-bit floats."""
     return pa.array([np.frombuffer(v, "<f8").astype("<f4").tobytes() for v in vector.to_pylist()], pa.binary())
 
 
+def unpacked(rows: list[bytes], dims: int) -> np.ndarray:
+    """Vectors of 32-bit or 64-bit floats in double precision."""
+    kind = "<f4" if rows and len(rows[0]) == 4 * dims else "<f8"
+    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), dims)
+
+
 def squared(x: np.ndarray) -> np.ndarray:
     """Squared distances between all rows of one small block."""
     norms = (x**2).sum(axis=1)
-    return np.maximum(norms[:, None] + norms - 2 * x @ x.T, 0)
+    return np.maximum(norms[:, None] + norms - 2 * x @ x.T, 0).astype(float)
+
+
+def nearest_in_block(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and squared distances of the ``k`` nearest other rows of each row."""
+    d = squared(x)
+    np.fill_diagonal(d, np.inf)
+    k = min(k, len(ids) - 1)
+    if not k:
+        return np.zeros((len(ids), 0), int), np.zeros((len(ids), 0))
+    near = np.argpartition(d, k - 1, axis=1)[:, :k]
+    return near, np.take_along_axis(d, near, 1)
 
 
 def projection(dims: int, seed: int) -> Column:
@@ -52,32 +80,33 @@ def projection(dims: int, seed: int) -> Column:
 
     @F.arrow_udf(T.DoubleType())
     def place(vector: pa.Array) -> pa.Array:
-        x = np.frombuffer(b"".join(vector.to_pylist()), "<f4").reshape(len(vector), -1) if len(vector) else np.zeros((0, dims))
+        x = unpacked(vector.to_pylist(), dims)
         inside = x @ line
         return pa.array(((x @ cells > 0) * (1 << np.arange(4))).sum(axis=1) * 4.0 + np.tanh(inside / (np.abs(line).sum() + 1e-9) * 8))
 
     return place(F.col("vector"))
 
 
-def block_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The DEGREE nearest of each row within its block of BLOCK rows, which follow each other in order."""
+def block_edges(dims: int, degree: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The ``degree`` nearest of each row within its block of BLOCK rows (more if ``degree`` asks for it), which follow each other in order."""
+    block = max(BLOCK, 4 * degree)
 
     def edges(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        d = squared(x)
-        np.fill_diagonal(d, np.inf)
-        k = min(DEGREE, len(ids) - 1)
-        near = np.argpartition(d, k - 1, axis=1)[:, :k] if k else np.zeros((len(ids), 0), int)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)), pa.array(ids[near].ravel()), pa.array(np.take_along_axis(d, near, 1).ravel().astype(np.float32))], names=EDGE.names)
+        near, d = nearest_in_block(ids, x, degree)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, near.shape[1])), pa.array(ids[near].ravel()), pa.array(d.ravel())], names=EDGE.names)
 
-    held_ids, held = np.zeros(0, np.int64), []
-    for batch in batches:
-        held_ids = np.concatenate([held_ids, batch.column(0).to_numpy()])
-        held += batch.column(1).to_pylist()
-        while len(held) >= 2 * BLOCK:
-            yield edges(held_ids[:BLOCK], np.frombuffer(b"".join(held[:BLOCK]), "<f4").reshape(BLOCK, -1))
-            held_ids, held = held_ids[BLOCK:], held[BLOCK:]
-    if held:
-        yield edges(held_ids, np.frombuffer(b"".join(held), "<f4").reshape(len(held), -1))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_ids, held = np.zeros(0, np.int64), []
+        for batch in batches:
+            held_ids = np.concatenate([held_ids, batch.column(0).to_numpy()])
+            held += batch.column(1).to_pylist()
+            while len(held) >= 2 * block:
+                yield edges(held_ids[:block], unpacked(held[:block], dims))
+                held_ids, held = held_ids[block:], held[block:]
+        if held:
+            yield edges(held_ids, unpacked(held, dims))
+
+    return run
 
 
 def nearest(edges: DataFrame, k: int) -> DataFrame:
@@ -87,41 +116,61 @@ def nearest(edges: DataFrame, k: int) -> DataFrame:
     return once.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).drop("place")
 
 
-def local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def best(a: np.ndarray, b: np.ndarray, d: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``degree`` shortest different edges of each ``a``: no others of these can be in the graph."""
+    order = np.lexsort((b, a))
+    a, b, d = a[order], b[order], d[order]
+    once = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    a, b, d = a[once], b[once], d[once]
+    order = np.lexsort((d, a))
+    a, b, d = a[order], b[order], d[order]
+    starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    place = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
+    return a[place < degree], b[place < degree], d[place < degree]
+
+
+def local_join(dims: int, degree: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Edges between the neighbours of one node that are shorter than the longest edge either has; rows come sorted by node."""
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def join(ids: np.ndarray, fresh: np.ndarray, worst: np.ndarray, rows: list[bytes]) -> None:
+    def join(ids: np.ndarray, fresh: np.ndarray, worst: np.ndarray, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         if len(ids) < 2 or not fresh.any():
-            return
-        d = squared(np.frombuffer(b"".join(rows), "<f4").reshape(len(ids), -1)).astype(np.float32)
+            return None
+        d = squared(unpacked(rows, dims))
         useful = (fresh[:, None] | fresh) & (d < worst[:, None]) & (ids[:, None] != ids)
         a, b = np.nonzero(useful)
-        if len(a):
-            out.append((ids[a], ids[b], d[a, b]))
-
-    tail: list = []
-    for batch in batches:
-        node, ids, fresh, worst = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-        rows = batch.column(4).to_pylist()
-        if tail:
-            node, ids, fresh, worst = (np.concatenate(x) for x in zip(tail[:4], (node, ids, fresh, worst)))
-            rows = tail[4] + rows
-        cuts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])).tolist()
-        for a, b in zip(cuts, cuts[1:]):
-            join(ids[a:b], fresh[a:b], worst[a:b], rows[a:b])
-        a = cuts[-1]
-        tail = [node[a:], ids[a:], fresh[a:], worst[a:], rows[a:]]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=EDGE.names)
-            out = []
-    if tail:
-        join(*tail[1:])
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=EDGE.names)
-
-
-def with_back_links(graph: DataFrame, most: int = BACK) -> DataFrame:
+        return (ids[a], ids[b], d[a, b]) if len(a) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held, tail = [], 0, []
+
+        def drained() -> Iterator[pa.RecordBatch]:
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in best(*(np.concatenate(x) for x in zip(*out)), degree)], names=EDGE.names)
+
+        for batch in batches:
+            node, ids, fresh, worst = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            rows = batch.column(4).to_pylist()
+            if tail:
+                node, ids, fresh, worst = (np.concatenate(x) for x in zip(tail[:4], (node, ids, fresh, worst)))
+                rows = tail[4] + rows
+            cuts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])).tolist()
+            for a, b in zip(cuts, cuts[1:]):
+                if found := join(ids[a:b], fresh[a:b], worst[a:b], rows[a:b]):
+                    out.append(found)
+                    held += len(found[0])
+                if held > HELD:
+                    yield from drained()
+                    out, held = [], 0
+            a = cuts[-1]
+            tail = [node[a:], ids[a:], fresh[a:], worst[a:], rows[a:]]
+        if tail and (found := join(*tail[1:])):
+            out.append(found)
+        yield from drained()
+
+    return run
+
+
+def with_back_links(graph: DataFrame, most: int) -> DataFrame:
     """(node, other, fresh): links of each node and up to ``most`` links to it, fresh and short ones first.
 
     A node that very many link to looks at a bounded number of them; each of those still has its link.
@@ -133,8 +182,8 @@ def with_back_links(graph: DataFrame, most: int = BACK) -> DataFrame:
     return both.groupBy("node", "other").agg(F.max("fresh").alias("fresh"))
 
 
-def build_graph(nodes: DataFrame, dims: int) -> DataFrame:
-    """(node, other, distance, fresh): about the DEGREE nearest others of each of ``nodes`` (node, vector).
+def build_graph(nodes: DataFrame, dims: int, degree: int) -> DataFrame:
+    """(node, other, distance, fresh): about the ``degree`` nearest others of each of ``nodes`` (node, vector).
 
     The first graph comes from blocks of neighbours in several random orders, cut after a sort so
     that no block depends on how many vectors look alike. Each turn of NN-descent then joins every
@@ -144,21 +193,21 @@ def build_graph(nodes: DataFrame, dims: int) -> DataFrame:
     first = None
     for seed in range(ORDERS):
         ordered = nodes.select("node", "vector", projection(dims, seed).alias("place")).repartitionByRange("place", "node").sortWithinPartitions("place", "node")
-        found = ordered.select("node", "vector").mapInArrow(block_edges, EDGE)
+        found = ordered.select("node", "vector").mapInArrow(block_edges(dims, degree), EDGE)
         first = found if first is None else first.unionByName(found)
-    graph = written(nearest(first.withColumn("fresh", F.lit(True)), DEGREE))
-    for _ in range(TURNS):
+    graph = written(nearest(first.withColumn("fresh", F.lit(True)), degree))
+    for _ in range(LIMIT):
         worst = graph.groupBy(F.col("node").alias("of")).agg(F.max("distance").alias("worst"), F.count(F.lit(1)).alias("links"))
-        worst = worst.select("of", F.when(F.col("links") < DEGREE, F.lit(float("inf"))).otherwise(F.col("worst")).cast("float").alias("worst"))
-        members = with_back_links(graph).join(nodes.join(worst, F.col("node") == F.col("of")).select(F.col("of").alias("member"), "worst", "vector"), F.col("other") == F.col("member"))
+        worst = worst.select("of", F.when(F.col("links") < degree, F.lit(float("inf"))).otherwise(F.col("worst")).alias("worst"))
+        members = with_back_links(graph, degree).join(nodes.join(worst, F.col("node") == F.col("of")).select(F.col("of").alias("member"), "worst", "vector"), F.col("other") == F.col("member"))
         groups = members.select("node", "other", "fresh", "worst", "vector").repartition("node").sortWithinPartitions("node")
-        better = groups.mapInArrow(local_join, EDGE).withColumn("fresh", F.lit(True))
+        better = groups.mapInArrow(local_join(dims, degree), EDGE).withColumn("fresh", F.lit(True))
         old = graph.withColumn("fresh", F.lit(False))
-        graph = written(nearest(old.unionByName(better), DEGREE))
+        graph = written(nearest(old.unionByName(better), degree))
         changed, links = graph.agg(F.sum(F.col("fresh").cast("long")), F.count(F.lit(1))).first()
         if (changed or 0) <= SETTLED * links:
-            break
-    return graph
+            return graph
+    raise RuntimeError(f"the graph of neighbours still changes after {LIMIT} turns: {changed} of {links} links in the last")
 
 
 def pair_distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,14 +256,15 @@ def measured(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFr
     return rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(pair_distances, PAIR)
 
 
-def search(graph: DataFrame, vectors: DataFrame, starts: DataFrame, beam: int = BEAM, width: int = WIDTH) -> DataFrame:
+def search(graph: DataFrame, vectors: DataFrame, starts: DataFrame, beam: int, degree: int) -> DataFrame:
     """(query, node, distance): the ``beam`` nearest nodes found for each query by greedy search.
 
     ``vectors``: (node, exact) of all nodes; ``starts``: (query, target, node), the query's vector and
-    a node to begin at. In each turn the nearest ``width`` nodes of a query's beam that were not
-    looked at yet are expanded together; a query ends when its beam holds none.
+    a node to begin at. In each turn the nearest third of a query's beam, of the nodes that were not
+    looked at yet, is expanded together; a query ends when its beam holds none.
     """
-    links = written(with_back_links(graph).select("node", "other"))
+    width = -(-beam // 3)
+    links = written(with_back_links(graph, degree).select("node", "other"))
     queries = written(starts.groupBy("query").agg(F.first("target").alias("target")))
     order = Window.partitionBy("query").orderBy("distance", "node")
     nearest_first = Window.partitionBy("query").orderBy("seen", "distance", "node")
@@ -232,7 +282,7 @@ def search(graph: DataFrame, vectors: DataFrame, starts: DataFrame, beam: int =
     return state.select("query", "node", "distance")
 
 
-def nearest_rows(rows: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = BEAM) -> DataFrame:
+def nearest_rows(rows: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", beam: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest other rows found for each row that ``queries`` selects.
 
     Nearest first by Euclidean distance in double precision, ties to the smaller id; all rows if
@@ -242,7 +292,7 @@ def nearest_rows(rows: DataFrame, queries: Column, k: int = 10, id_col: str = "v
 
     Equal vectors are one node of the graph, so a vector that many rows share neither fills the
     lists of others nor hides ties: each node keeps its k + 1 smallest ids, all that a result can
-    name. Recall against brute force is measured in tests.
+    name. Links and beam grow with the number of nodes. Recall against brute force is measured in tests.
     """
     given = rows.select(F.col(id_col).cast("long").alias("id"), packed(F.col(vector_col).cast("array<double>")).alias("exact"), queries.alias("asked"))
     given = given.filter(F.col("id").isNotNull() & F.col("exact").isNotNull()).groupBy("id").agg(F.min("exact").alias("exact"), F.max("asked").alias("asked"))
@@ -250,13 +300,16 @@ def nearest_rows(rows: DataFrame, queries: Column, k: int = 10, id_col: str = "v
     lengths = given.groupBy(F.length("exact").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("size")).limit(1).collect()
     size = lengths[0]["size"] if lengths else 8
     given = given.filter(F.length("exact") == size)
-    nodes = written(given.groupBy("exact").agg(F.min("id").alias("node")).select("node", "exact", shortened(F.col("exact")).alias("vector")))
-    graph = build_graph(nodes.select("node", "vector"), size // 8)
+    nodes = written(given.groupBy("exact").agg(F.min("id").alias("node")).select("node", "exact"))
+    n = nodes.count()
+    degree, beam = degree_of(n), beam or beam_of(n)
+    vector = shortened(F.col("exact"))
+    graph = build_graph(nodes.select("node", vector.alias("vector")), size // 8, degree)
     placed = given.join(nodes.select("node", F.col("exact").alias("same")), F.col("exact") == F.col("same")).select("id", "asked", "exact", "node")
     of_node = Window.partitionBy("node").orderBy("id")
     members = written(placed.select("node", "id").withColumn("place", F.row_number().over(of_node)).filter(F.col("place") <= k + 1).drop("place"))
     starts = placed.filter("asked").select(F.col("id").alias("query"), F.col("exact").alias("target"), "node")
-    found = search(graph, nodes.select("node", "exact"), starts, beam).join(members, "node").filter(F.col("id") != F.col("query"))
+    found = search(graph, nodes.select("node", "exact"), starts, beam, degree).join(members, "node").filter(F.col("id") != F.col("query"))
     order = Window.partitionBy("query").orderBy("distance", "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), F.col("distance").alias("score"))

@@ -178,6 +178,15 @@ def test_neighbours_of_few_rows(spark):
     assert neighbours.nearest_rows(few.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_settle_or_raise(spark, monkeypatch):
+    assert neighbours.degree_of(10_000) < neighbours.degree_of(100_000) and neighbours.beam_of(10_000) < neighbours.beam_of(100_000)
+    rng = np.random.default_rng(4)
+    table = spark.createDataFrame([(i, [float(c) for c in rng.standard_normal(32)]) for i in range(2000)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(neighbours, "LIMIT", 1)
+    with pytest.raises(RuntimeError, match="still changes"):
+        neighbours.nearest_rows(table, F.col("vec_id") == 0)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 200), (300, 200), (7, 7)] + [(500, 501 + k) for k in range(50)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -40,10 +40,18 @@ def packed(vector: pa.Array) -> pa.Array:
     out = []
     for v in vector:
         x = np.array([np.nan if c is None else c for c in v.as_py()], "<f8") if v.is_valid else np.zeros(0)
+        x = x + 0.0  # no negative zeros: equal vectors have equal bytes
         out.append(x.tobytes() if len(x) and np.isfinite(x).all() and x.any() else None)
     return pa.array(out, pa.binary())
 
 
+@F.arrow_udf(T.BooleanType())
+def short_enough(vector: pa.Array) -> pa.Array:
+    """Whether 32-bit floats hold the vector without loss."""
+    with np.errstate(over="ignore"):
+        return pa.array([bool((x.astype("<f4") == x).all()) for x in (np.frombuffer(v, "<f8") for v in vector.to_pylist())], pa.bool_())
+
+
 @F.arrow_udf(T.BinaryType())
 def shortened(vector: pa.Array) -> pa.Array:
     """The same as 32-bit floats."""
@@ -53,26 +61,47 @@ def shortened(vector: pa.Array) -> pa.Array:
 def unpacked(rows: list[bytes], dims: int) -> np.ndarray:
     """Vectors of 32-bit or 64-bit floats in double precision."""
     kind = "<f4" if rows and len(rows[0]) == 4 * dims else "<f8"
-    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), dims)
+    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), dims).astype(float)
 
 
 def squared(x: np.ndarray) -> np.ndarray:
-    """Squared distances between all rows of one small block."""
+    """Squared distances between all rows of one small block in double precision; where the expanded form cancels, by differences."""
+    x = x - x[:1]
     norms = (x**2).sum(axis=1)
-    return np.maximum(norms[:, None] + norms - 2 * x @ x.T, 0).astype(float)
+    sums = norms[:, None] + norms
+    d = sums - 2 * x @ x.T
+    a, b = np.nonzero(d < 1e-6 * sums)
+    for i in range(0, len(a), 10_000):
+        at = a[i : i + 10_000], b[i : i + 10_000]
+        d[at] = ((x[at[0]] - x[at[1]]) ** 2).sum(axis=1)
+    return np.maximum(d, 0)
+
+
+def chance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each pair of ids, which decides between equal distances."""
+    low, high = np.minimum(a, b).astype(np.uint64), np.maximum(a, b).astype(np.uint64)
+    x = low * np.uint64(0x9E3779B97F4A7C15) ^ (high + np.uint64(0x7F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def nearest_in_block(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and squared distances of the ``k`` nearest other rows of each row."""
+    """Places and squared distances of the ``k`` nearest other rows of each row, ties by chance."""
     d = squared(x)
     np.fill_diagonal(d, np.inf)
     k = min(k, len(ids) - 1)
     if not k:
         return np.zeros((len(ids), 0), int), np.zeros((len(ids), 0))
     near = np.argpartition(d, k - 1, axis=1)[:, :k]
+    last = np.take_along_axis(d, near, 1).max(axis=1)
+    for row in np.flatnonzero((d <= last[:, None]).sum(axis=1) > k):
+        near[row] = np.lexsort((chance(ids[row], ids), d[row]))[:k]
     return near, np.take_along_axis(d, near, 1)
 
 
+def pair_chance(a: str, b: str) -> Column:
+    return F.xxhash64(F.least(a, b), F.greatest(a, b))
+
+
 def projection(dims: int, seed: int) -> Column:
     """The place of a vector on one random line, inside one of the 16 cells that four others cut."""
     rng = np.random.default_rng(seed)
@@ -112,7 +141,7 @@ def block_edges(dims: int, degree: int) -> Callable[[Iterator[pa.RecordBatch]],
 def nearest(edges: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest others of each node; ``fresh`` is kept true only for an edge that no earlier graph had."""
     once = edges.groupBy("node", "other").agg(F.min("distance").alias("distance"), F.min("fresh").alias("fresh"))
-    order = Window.partitionBy("node").orderBy("distance", "other")
+    order = Window.partitionBy("node").orderBy("distance", pair_chance("node", "other"), "other")
     return once.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).drop("place")
 
 
@@ -122,7 +151,7 @@ def best(a: np.ndarray, b: np.ndarray, d: np.ndarray, degree: int) -> tuple[np.n
     a, b, d = a[order], b[order], d[order]
     once = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
     a, b, d = a[once], b[once], d[once]
-    order = np.lexsort((d, a))
+    order = np.lexsort((chance(a, b), d, a))
     a, b, d = a[order], b[order], d[order]
     starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
     place = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
@@ -175,7 +204,7 @@ def with_back_links(graph: DataFrame, most: int) -> DataFrame:
 
     A node that very many link to looks at a bounded number of them; each of those still has its link.
     """
-    order = Window.partitionBy("node").orderBy(F.desc("fresh"), "distance", "other")
+    order = Window.partitionBy("node").orderBy(F.desc("fresh"), "distance", pair_chance("node", "other"), "other")
     back = graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "distance", "fresh")
     back = back.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
     both = graph.select("node", "other", "fresh").unionByName(back.select("node", "other", "fresh"))
@@ -301,9 +330,9 @@ def nearest_rows(rows: DataFrame, queries: Column, k: int = 10, id_col: str = "v
     size = lengths[0]["size"] if lengths else 8
     given = given.filter(F.length("exact") == size)
     nodes = written(given.groupBy("exact").agg(F.min("id").alias("node")).select("node", "exact"))
-    n = nodes.count()
+    n, short = nodes.agg(F.count(F.lit(1)), F.bool_and(short_enough(F.col("exact")))).first()
     degree, beam = degree_of(n), beam or beam_of(n)
-    vector = shortened(F.col("exact"))
+    vector = shortened(F.col("exact")) if short else F.col("exact")
     graph = build_graph(nodes.select("node", vector.alias("vector")), size // 8, degree)
     placed = given.join(nodes.select("node", F.col("exact").alias("same")), F.col("exact") == F.col("same")).select("id", "asked", "exact", "node")
     of_node = Window.partitionBy("node").orderBy("id")

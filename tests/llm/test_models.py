@@ -178,6 +178,29 @@ def test_neighbours_of_few_rows(spark):
     assert neighbours.nearest_rows(few.limit(0), F.lit(True)).count() == 0
 
 
+def near_copies_recall(spark, vectors, queries):
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    got = defaultdict(set)
+    for r in neighbours.nearest_rows(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id").isin(queries)).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in queries:
+        d = ((vectors - vectors[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    return hits / len(queries) / 10
+
+
+def test_neighbours_among_near_copies(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((4500, 64))
+    x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
+    x[::3] = x[0] + rng.standard_normal((1500, 64)) * 1e-4 / 8
+    assert near_copies_recall(spark, x.astype(np.float32).astype(float), list(range(0, 4500, 90))) >= 0.9
+    close = neighbours.squared(1 + rng.integers(0, 2, (50, 8)) * 1e-9)
+    assert np.unique(np.round(close * 1e18, 3)).tolist() == pytest.approx(sorted(set(np.round(close * 1e18).ravel())), abs=0.01) and close.max() > 0
+
+
 def test_neighbours_settle_or_raise(spark, monkeypatch):
     assert neighbours.degree_of(10_000) < neighbours.degree_of(100_000) and neighbours.beam_of(10_000) < neighbours.beam_of(100_000)
     rng = np.random.default_rng(4)

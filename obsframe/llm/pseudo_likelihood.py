@@ -1,7 +1,8 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
 Each word is hidden in turn and predicted from WINDOW words on either side. A document's score is
-the sum of the log-probabilities of all its words.
+the sum of the log-probabilities of all its words. The network predicts ids; a word without an id of
+its own has its share of the id's count besides, so the vocabulary is all words.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from obsframe.llm.shingles import SLICE, words
-from obsframe.llm.tables import flat, slices, struct
+from obsframe.llm.tables import flat, slices, struct, written
 
 WINDOW, DEPTH = 2, 16
 #: A word's class times CLASS plus its place in the class is its id; the output is predicted in these two steps.
 CLASS = 64
 VOCABULARY = CLASS * CLASS
-#: The most frequent words have ids of their own; the others share the rest by hash.
+#: The most frequent words have ids of their own, in order of frequency; the others share the rest by hash.
 KNOWN = VOCABULARY // 2
 BATCH, RATE = 2048, 0.15
 BLOCKS = 16
@@ -33,7 +34,10 @@ SHAPES = {
 }
 COUNT = struct(word=T.LongType(), n=T.LongType())
 TRAINED = struct(block=T.IntegerType(), tokens=T.LongType(), values=T.BinaryType())
-SCORED = struct(doc_id=T.LongType(), n_tokens=T.LongType(), log_score=T.DoubleType())
+SCORED = struct(doc_id=T.LongType(), n_tokens=T.LongType(), log_score=T.DoubleType(), word_log_score=T.DoubleType(), rare=T.ArrayType(T.LongType()), times=T.ArrayType(T.LongType()))
+
+#: Hashes of the most frequent words, ascending, and the id of each.
+Known = tuple[np.ndarray, np.ndarray]
 
 
 def pack(w: Weights) -> np.ndarray:
@@ -48,20 +52,24 @@ def unpack(values: np.ndarray) -> Weights:
     return out
 
 
-def start_weights() -> Weights:
+def start_weights(counts: np.ndarray | None = None) -> Weights:
+    """Small random weights; with ``counts`` of all ids, classes start at their frequencies."""
     rng = np.random.default_rng(0)
-    return {name: (rng.standard_normal(shape) * (0.1 if len(shape) > 1 else 0)).astype(np.float32) for name, shape in SHAPES.items()}
+    w = {name: (rng.standard_normal(shape) * (0.1 if len(shape) > 1 else 0)).astype(np.float32) for name, shape in SHAPES.items()}
+    if counts is not None:
+        w["class_bias"] = np.log(counts.reshape(CLASS, CLASS).sum(axis=1) + 1.0).astype(np.float32)
+    return w
 
 
-def token_ids(data: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words and the offsets of each text among them; ``known``: hashes of the most frequent words, ascending."""
+def token_ids(data: np.ndarray, offsets: np.ndarray, known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and hashes of all words and the offsets of each text among them."""
     hashes, bounds, _ = words(data, offsets)
     ids = KNOWN + (hashes % np.uint64(VOCABULARY - KNOWN)).astype(np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        found = known[at] == hashes
-        ids[found] = at[found]
-    return ids, bounds
+    if len(known[0]):
+        at = np.minimum(np.searchsorted(known[0], hashes), len(known[0]) - 1)
+        found = known[0][at] == hashes
+        ids[found] = known[1][at[found]]
+    return ids, hashes, bounds
 
 
 def contexts(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -128,8 +136,8 @@ def learn(w: Weights, squares: Weights, around: np.ndarray, target: np.ndarray)
             w[name] -= RATE * g / (np.sqrt(squares[name]) + 1e-6)
 
 
-def frequent_words(docs: DataFrame) -> np.ndarray:
-    """Hashes of the KNOWN most frequent words of all texts, ascending; counts combine before the shuffle."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word (hash) and n of all words of all texts; counts combine before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,19 +145,45 @@ def frequent_words(docs: DataFrame) -> np.ndarray:
                 found, n = np.unique(words(*flat(part.column(0)))[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=COUNT.names)
 
-    sums = docs.mapInArrow(count, COUNT).groupBy("word").agg(F.sum("n").alias("n"))
-    top = sums.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
-    return np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
+    return written(docs.mapInArrow(count, COUNT).groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def vocabulary(counts: DataFrame) -> tuple[Known, np.ndarray, DataFrame]:
+    """The KNOWN most frequent words, the count of each id, and (word, n) of all other words."""
+    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
+    hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    frequent = counts.sparkSession.createDataFrame([(r["word"],) for r in top], "word long")
+    others = counts.join(F.broadcast(frequent), "word", "left_anti")
+    totals = np.zeros(VOCABULARY, np.int64)
+    totals[: len(top)] = [r["n"] for r in top]
+    # VOCABULARY - KNOWN divides 2**64, so signed and unsigned hashes have the same remainder
+    for r in others.groupBy(F.pmod("word", F.lit(VOCABULARY - KNOWN)).alias("id")).agg(F.sum("n").alias("n")).collect():
+        totals[KNOWN + r["id"]] = r["n"]
+    return (hashes[order], order), totals, others
+
+
+def rare_words(ids: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Of each text, the different words that share an id, and how often each occurs."""
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    rare = ids >= KNOWN
+    text, found = text[rare], hashes[rare]
+    order = np.lexsort((found, text))
+    text, found = text[order], found[order]
+    first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (found[1:] != found[:-1])])) if len(text) else np.zeros(0, int)
+    offsets = pa.array(np.searchsorted(text[first], np.arange(len(bounds))).astype(np.int32))
+    times = np.diff(np.append(first, len(text)))
+    return tuple(pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int64))) for v in (found[first].view(np.int64), times))
 
 
-def train(docs: DataFrame, known: np.ndarray, rounds: int) -> Weights:
+def train(docs: DataFrame, known: Known, counts: np.ndarray, rounds: int) -> Weights:
     """Weights after every text was learnt from once.
 
     A round takes the texts of one hash class: each task learns on its texts from the same start and
     the outcomes are averaged, weighted by tokens. The sum runs on the executors by blocks of
     weights; the driver gets one set of weights a round, whatever the input.
     """
-    w = start_weights()
+    w = start_weights(counts)
     for turn in range(rounds):
         start = pack(w)
 
@@ -158,7 +192,7 @@ def train(docs: DataFrame, known: np.ndarray, rounds: int) -> Weights:
             squares = {name: np.full(shape, 1e-3, np.float32) for name, shape in SHAPES.items()}
             for batch in batches:
                 for part in slices(batch, 0, SLICE):
-                    ids, bounds = token_ids(*flat(part.column(0)), known)
+                    ids, _, bounds = token_ids(*flat(part.column(0)), known)
                     learn(own, squares, contexts(ids, bounds), ids)
                     tokens += len(ids)
             if tokens:
@@ -183,25 +217,32 @@ def train(docs: DataFrame, known: np.ndarray, rounds: int) -> Weights:
 
 
 def score_documents(docs: DataFrame, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, log_score (summed log-probability of all words, each given both sides) and mean_log_score.
+    """doc_id, n_tokens, word_log_score (summed log-probability of all words, each given both sides), log_score (the same of their ids alone) and the means of both.
 
-    The vocabulary comes from the word counts of all texts (A-Z lower-cased, words being runs
-    without ASCII white space), the network is trained on all of them. A null or wordless text has 0
-    tokens, a sum of 0 and no mean; repeated rows score alike; other columns are left out; an empty
-    table gives no rows.
+    The vocabulary is all words of all texts (A-Z lower-cased, words being runs without ASCII white
+    space), the network is trained on all of them. The probability of a word that shares an id is the
+    id's times n / (N + 1), n and N being the counts of word and id over all texts; 1 / (N + 1) is the
+    mass of words that occur in no text. A null or wordless text has 0 tokens, a sum of 0 and no
+    mean; repeated rows score alike; other columns are left out; an empty table gives no rows.
     """
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    known = frequent_words(texts)
-    weights = train(texts, known, rounds)
+    known, totals, others = vocabulary(word_counts(texts))
+    weights = train(texts, known, totals, rounds)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, SLICE):
-                ids, bounds = token_ids(*flat(part.column(1)), known)
+                ids, hashes, bounds = token_ids(*flat(part.column(1)), known)
                 around = contexts(ids, bounds)
                 logs = np.concatenate([np.zeros(0)] + [predict(weights, around[i : i + BATCH], ids[i : i + BATCH])["log"].astype(float) for i in range(0, len(ids), BATCH)])
-                sums = np.concatenate([[0.0], np.cumsum(logs)])[bounds]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds)), pa.array(np.diff(sums))], names=SCORED.names)
+                shared = np.where(ids < KNOWN, 0.0, np.log(totals + 1.0)[ids])
+                sums = (np.diff(np.concatenate([[0.0], np.cumsum(x)])[bounds]) for x in (logs, logs - shared))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds)), *map(pa.array, sums), *rare_words(ids, hashes, bounds)], names=SCORED.names)
 
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(score, SCORED)
-    return scored.withColumn("mean_log_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")))
+    scored = written(scored.withColumn("row", F.monotonically_increasing_id()))
+    asked = scored.select("row", F.inline(F.arrays_zip(F.col("rare").alias("word"), "times")))
+    shares = asked.join(others, "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("own"))
+    whole = scored.drop("rare", "times").join(shares, "row", "left").withColumn("word_log_score", F.col("word_log_score") + F.coalesce("own", F.lit(0.0)))
+    means = {f"mean_{c}": F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")) for c in ("log_score", "word_log_score")}
+    return whole.select("doc_id", "n_tokens", "log_score", "word_log_score").withColumns(means)

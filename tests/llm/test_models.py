@@ -124,6 +124,35 @@ def test_pseudo_likelihood(spark, corpus):
     assert pseudo_likelihood.score_documents(docs.limit(0)).count() == 0
 
 
+def test_pseudo_likelihood_of_rare_and_shuffled_words(spark):
+    """Rare words below frequent ones, shuffled texts below real ones, and the model above unigrams, all being words of one vocabulary."""
+    rng = np.random.default_rng(5)
+    follows = rng.integers(0, 200, (200, 2))
+
+    def text(n):
+        out = [int(rng.integers(200))]
+        while len(out) < n:
+            out.append(int(follows[out[-1], rng.integers(2)]))
+        return [f"w{k}" for k in out]
+
+    real = [text(300) for _ in range(800)]
+    shuffled = [rng.permutation(real[k]).tolist() for k in range(20)]
+    rare = [[f"x{k}y{j}" for j in range(300)] for k in range(20)]
+    docs = [" ".join(t) for t in real + shuffled + rare]
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    by = {r["doc_id"]: r for r in pseudo_likelihood.score_documents(table).collect()}
+    assert len(by) == len(docs)
+    mean = lambda ids: np.mean([by[k]["mean_word_log_score"] for k in ids])
+    assert mean(range(820, 840)) < mean(range(800)) - 1 and mean(range(800, 820)) < mean(range(20))
+    counts = Counter(w for t in docs for w in t.split())
+    total = sum(counts.values())
+    unigrams = sum(n * np.log(n / total) for n in counts.values())
+    assert sum(r["word_log_score"] for r in by.values()) > unigrams
+    # words that share an id: the bucket's mass is split by counts, with a part for unseen words
+    known, totals, others = pseudo_likelihood.vocabulary(pseudo_likelihood.word_counts(table.select("text")))
+    assert len(known[0]) == pseudo_likelihood.KNOWN and totals.sum() == total and others.count() == len(counts) - pseudo_likelihood.KNOWN
+
+
 def test_window_network_gradients_and_norm():
     rng = np.random.default_rng(0)
     w = {k: v.astype(float) for k, v in pseudo_likelihood.start_weights().items()}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from obsframe import layout as L
 from obsframe.operators import families as fam
 from obsframe.operators import windows as W
-from obsframe.plans.catalog import DIMS, day, doubles, ints, per_digit, q, r, register
+from obsframe.plans.catalog import DIMS, ORACLES, day, doubles, ints, per_digit, q, r, register
 from obsframe.plans.observations import PRIOR
 
 E = "(PARTITION BY entity_id ORDER BY obs_date"
@@ -195,6 +195,23 @@ register(
     "f22_family_recency", lambda t: fam.family_recency(tail_head_rows(t), universe(t)),
     q(f"SELECT {ID}, code_group, family_name, rec AS recency, coalesce(rec < 10, false) AS seen_within FROM (SELECT *, rn - 1 - max(CASE WHEN hit THEN rn END) OVER {G} {PRIOR}) AS rec FROM spread)", DIMS, UNI),
 )
+
+
+def all_universe(t):
+    return universe(t).unionByName(t.dims["pair"].select(F.lit("pair").alias("code_group"), "family_name").distinct())
+
+
+# f21 and f22 over all three code groups; the pair families are those of the whole code domain.
+UNI_ALL = """pair_uni AS (SELECT DISTINCT 'pair-' || least(a.range, b.range) || greatest(a.range, b.range) AS family_name FROM range(10) a, range(10) b WHERE (a.range + b.range) % 5 <> 4),
+""" + UNI.replace("FROM head_member),", "FROM head_member UNION ALL SELECT 'pair', family_name FROM pair_uni),", 1)
+register(
+    "f21_family_frequency_all_groups", lambda t: fam.family_window_rates(fam.family_rows(t.obs, t.dims), all_universe(t)),
+    ORACLES["f21_family_frequency"].replace(UNI, UNI_ALL),
+)
+register(
+    "f22_family_recency_all_groups", lambda t: fam.family_recency(fam.family_rows(t.obs, t.dims), all_universe(t)),
+    ORACLES["f22_family_recency"].replace(UNI, UNI_ALL),
+)
 register(
     "f24_rolling_rates", lambda t: W.rolling_rates(t.long),
     q(f"SELECT {ID}, position, " + ", ".join(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsframe.llm.bpe import encode_documents, ids_sha256
+from obsframe.llm.filter_audit import MEASURES, audit_filters
 from obsframe.llm.host_rules import COUNTS, judge_documents
 from obsframe.llm.line_dedup import dedup_lines
 from obsframe.llm.neighbours import nearest_rows
@@ -18,6 +19,8 @@ from obsframe.llm.packing import pack_documents
 from obsframe.llm.passages import quality_scorer
 from obsframe.llm.pseudo_likelihood import score_documents
 from obsframe.llm.samples import held_out
+from obsframe.llm.search import search_documents
+from obsframe.llm.sentence_pieces import decimal_sha256, encode_pieces
 from obsframe.llm.tables import shared_folder
 from obsframe.llm.token_files import ids_crc32, read_tokens, with_starts, write_tokens
 from obsframe.llm.toxicity import toxicity_scorer
@@ -83,6 +86,20 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return join_documents(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels")).select("part", "filter_order", "step", *MEASURES)
+
+
+def op12_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    coded = encode_pieces(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    hashes = decimal_sha256("ids").alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *hashes)
+
+
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 ORACLES["op2_host_rules"] = f"""
@@ -120,7 +137,42 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM judged GROUP BY doc_id
 """
 
-for _query in (op1_pseudo_likelihood, op2_host_rules, op3_token_files, op4_toxicity, op5_line_dedup, op6_byte_bpe, op7_quality, op8_packing, op9_neighbours, op10_ngram_join):
+ORACLES["op11_filter_audit"] = f"""
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+fails AS (SELECT doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+  100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+  coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM texts),
+marks AS (SELECT part, [a, b, c, d, e] AS f, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad FROM fails LEFT JOIN labels USING (doc_id)),
+patterns AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM marks GROUP BY part, f),
+letters AS (SELECT range AS i FROM range(1, 6)),
+orders AS (SELECT [v.i, w.i, x.i, y.i, z.i] AS o FROM letters v, letters w, letters x, letters y, letters z WHERE len(list_distinct([v.i, w.i, x.i, y.i, z.i])) = 5),
+steps AS (SELECT o, i AS step, o[i] AS k, list_aggregate([chr((64 + j)::INT) FOR j IN o], 'string_agg', '') AS filter_order FROM orders, letters),
+counts AS (SELECT part, filter_order, step, k,
+  sum(n) FILTER (NOT gone AND NOT f[k]) AS kept, sum(n) FILTER (NOT gone AND f[k]) AS removed, sum(n) FILTER (gone AND f[k]) AS redundant,
+  sum(n) FILTER (f[k] AND len([x FOR x IN f IF x]) = 1) AS unique_fails, sum(good) FILTER (NOT gone AND f[k]) AS good_lost, sum(bad) FILTER (NOT gone AND f[k]) AS toxic_lost
+  FROM (SELECT *, coalesce(list_bool_or([f[j] FOR j IN o[:step - 1]]), false) AS gone FROM patterns, steps) GROUP BY part, filter_order, step, k)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, k), 0)::BIGINT AS shapley FROM counts
+"""
+
+TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+ORACLES["op13_lexical_search"] = f"""
+WITH terms AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '{TERM}')), {LOWER}) AS term FROM documents),
+asked AS (SELECT item_id, term, count(*) AS often FROM (SELECT item_id, translate(unnest(regexp_extract_all(text, '{TERM}')), {LOWER}) AS term FROM benchmark) GROUP BY item_id, term),
+lengths AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+whole AS (SELECT count(*) AS all_docs, sum(n)::BIGINT AS all_terms FROM lengths),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM terms WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term),
+weights AS (SELECT term, floor(1000 * ln((2 * all_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counts, whole GROUP BY term, all_docs),
+impacts AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * all_docs) // all_terms))) AS impact
+  FROM counts JOIN weights USING (term) JOIN lengths USING (doc_id), whole),
+scores AS (SELECT item_id, doc_id, sum(often * impact)::BIGINT AS score FROM asked JOIN impacts USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 10
+"""
+
+for _query in (op1_pseudo_likelihood, op2_host_rules, op3_token_files, op4_toxicity, op5_line_dedup, op6_byte_bpe, op7_quality, op8_packing, op9_neighbours, op10_ngram_join, op11_filter_audit, op12_sentence_pieces, op13_lexical_search):
     QUERIES[_query.__name__] = _query
 
 QUERIES["pipeline"] = corpus_pipeline.run

@@ -6,6 +6,7 @@ from obsframe.plans import (  # noqa: F401  (registration)
     features,
     observations,
     rankings,
+    sequential,
     series,
     statistics,
     training,

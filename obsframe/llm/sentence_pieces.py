@@ -33,9 +33,11 @@ SPACE_MARK = "▁"
 #: A character of no piece, between segments.
 APART = "\uffff"
 #: Segments whose ids a worker keeps, and pairs of neighbours that it knows; beyond these it starts afresh.
-CACHED_SEGMENTS, CACHED_PAIRS = 500_000, 2_000_000
+CACHED_SEGMENTS, CACHED_PAIRS = 500_000, 500_000
+#: Runs that are no longer stepped through together.
+FEW_RUNS = 48
 #: Characters of new segments that one Aho-Corasick run takes.
-RUN_CHARS = 1 << 18
+RUN_CHARS = 1 << 20
 NORMAL, CONTROL, BYTE = 1, 3, 6
 ENCODED = struct(doc_id=T.LongType(), ids=T.ArrayType(T.IntegerType(), False), decoded=T.StringType())
 
@@ -82,6 +84,7 @@ class Pieces:
         self.shorter = [-1] * len(self.names)
         for name, k in self.reached.items():
             self.shorter[k] = next((self.reached[name[:n]] for n in range(len(name) - 1, 0, -1) if name[:n] in self.reached), -1)
+        self.sizes, self.next_shorter = np.array([*self.lengths, 0, 0]), np.array([*self.shorter, -1, -1])  # also at -1 and UNSEEN
         self.pairs: dict[int, bool] = {}
         #: what an id adds to a decoded text
         raw = [bytes([int(n[1:-1], 16)]) if kind == BYTE else b"" if kind == CONTROL else n.encode() for n, kind in zip(self.names, self.kinds)]
@@ -155,63 +158,107 @@ class Pieces:
             n -= 1
         return self.reached[part[:n]] if n else -1
 
-    def cover(self, text: str, longest: list[int], start: int, end: int) -> list[int]:
-        """Ids of the characters from start to end, by backtracking."""
-        lengths, shorter, pairs, width = self.lengths, self.shorter, self.pairs, len(self.names)
+    def cover(self, text: str, longest: np.ndarray, start: int, end: int) -> list[int]:
+        """Pieces of the characters from start to end, each of which is a piece itself, by backtracking."""
+        lengths, shorter = self.lengths, self.shorter
         out: list[int] = []
         failed = bytearray(end - start + 1)
-        at = begin = start
-        piece = longest[at]
-        while True:
-            if piece == UNSEEN:
-                piece = longest[at] = self.longest_at(text, at)
-            if piece < 0 and at == begin:  # no merge takes in a character that is no piece
-                out += self.byte_ids[list(text[at].encode())].tolist()
-                at = begin = at + 1
+        at, piece = start, self.seen_at(text, longest, start)
+        while at < end:
+            last = out[-1] if out else -1
+            while piece >= 0:
+                stop = at + lengths[piece]
+                if not failed[stop - start] and (last < 0 or self.fits(last * len(self.names) + piece)):
+                    break
+                piece = shorter[piece]
+            if piece >= 0:
+                out.append(piece)
+                at = stop
+                piece = self.seen_at(text, longest, at) if at < end else -1
             else:
-                last = out[-1] if at > begin else -1
-                while piece >= 0:
-                    stop = at + lengths[piece]
-                    if not failed[stop - start]:
-                        if last < 0:
-                            break
-                        key = last * width + piece
-                        fits = pairs.get(key)
-                        if fits is None:
-                            fits = pairs[key] = self.compatible(last, piece)
-                        if fits:
-                            break
-                    piece = shorter[piece]
-                if piece >= 0:
-                    out.append(piece)
-                    at = stop
-                elif longest[at] < 0:
-                    begin = at
-                    continue
-                else:
-                    failed[at - start] = 1  # what leads here is one row of pieces only, so none can go on from here
-                    piece = out.pop()
-                    at -= lengths[piece]
-                    continue
-            if at == end:
-                return out
-            piece = longest[at]
-
-    def encode(self, segments: list[str]) -> list[list[int]]:
-        """Ids of segments; each begins with the spaces before a word and ends before the next spaces."""
+                failed[at - start] = 1  # what leads here is one row of pieces only, so none can go on from here
+                piece = out.pop()
+                at -= lengths[piece]
+        return out
+
+    def seen_at(self, text: str, longest: np.ndarray, at: int) -> int:
+        if longest[at] == UNSEEN:
+            longest[at] = self.longest_at(text, at)
+        return int(longest[at])
+
+    def fits(self, pair: int) -> bool:
+        """``compatible`` of a pair in one number, from the pairs known so far where it can."""
+        known = self.pairs.get(pair)
+        if known is None:
+            known = self.pairs[pair] = self.compatible(*divmod(pair, len(self.names)))
+        return known
+
+    def covers(self, text: str, longest: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The chosen piece at each character where one begins, -1 elsewhere: ``cover`` of many runs at once.
+
+        A round takes one step of every unfinished run; the last few runs, long ones, are covered one by one.
+        """
+        chosen = np.full(len(text) + 1, -1, np.int64)
+        before = np.full(len(text) + 1, -1, np.int64)  # where the piece before the one that begins here begins
+        failed = np.zeros(len(text) + 1, bool)
+        runs, at, last, piece = np.arange(len(starts)), starts.copy(), np.full(len(starts), -1, np.int64), longest[starts]
+        while len(runs) > FEW_RUNS:
+            for k in np.flatnonzero(piece == UNSEEN).tolist():
+                piece[k] = longest[at[k]] = self.longest_at(text, int(at[k]))
+            stop = at + self.sizes[piece]
+            open_ = (piece >= 0) & ~failed[np.where(piece >= 0, stop, 0)]
+            pairs = np.flatnonzero(open_ & (last >= 0))
+            keys, which = np.unique(chosen[last[pairs]] * len(self.names) + piece[pairs], return_inverse=True)
+            open_[pairs] = np.array([self.fits(k) for k in keys.tolist()], bool)[which] if len(keys) else False
+            none = piece < 0
+            failed[at[none]] = True
+            tried = self.next_shorter[piece]
+            back = last[none]
+            # accepted pieces move their run on, refused ones give way to a shorter one, and where none is left the run goes back
+            chosen[at[open_]], before[at[open_]] = piece[open_], last[open_]
+            last = np.where(open_, at, last)
+            at = np.where(open_, stop, at)
+            piece = np.where(open_, 0, tried)
+            at[none], piece[none], last[none] = back, chosen[back], before[back]
+            chosen[back] = -1
+            going = ~open_ | (at < ends[runs])
+            moved = open_ & going
+            piece[moved] = longest[at[moved]]
+            runs, at, last, piece = runs[going], at[going], last[going], piece[going]
+        for run in runs.tolist():
+            start, end = int(starts[run]), int(ends[run])
+            chosen[start:end] = -1
+            for k in self.cover(text, longest, start, end):
+                chosen[start] = k
+                start += self.lengths[k]
+        return chosen[:-1]
+
+    def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of segments one after the other, and how many each has; a segment begins with the spaces before a word."""
         if len(self.pairs) > CACHED_PAIRS:
             self.pairs.clear()
-        text = APART.join(segments)
-        longest = [UNSEEN] * len(text)
-        for stop, piece in self.automaton.iter_long(text):
-            longest[stop - self.lengths[piece] + 1] = piece
-        out, start = [], 0
-        for segment in segments:
-            end = start + len(segment)
-            piece = longest[start]
-            out.append([piece] if piece >= 0 and self.lengths[piece] == end - start else self.cover(text, longest, start, end))
-            start = end + 1
-        return out
+        text = APART.join(segments) + APART
+        longest = np.full(len(text), UNSEEN, np.int64)
+        found = np.fromiter(itertools.chain.from_iterable(self.automaton.iter_long(text)), np.int64).reshape(-1, 2)
+        longest[found[:, 0] - self.sizes[found[:, 1]] + 1] = found[:, 1]
+        # characters that are no piece stay uncovered; no merge takes them in, so they end a run
+        edges = np.zeros(len(text) + 1, np.int64)
+        np.add.at(edges, found[:, 0] - self.sizes[found[:, 1]] + 1, 1)
+        np.add.at(edges, found[:, 0] + 1, -1)
+        covered = np.concatenate([[False], np.cumsum(edges)[:-1] > 0, [False]])
+        chosen = self.covers(text, longest, np.flatnonzero(~covered[:-1] & covered[1:]), np.flatnonzero(covered[:-1] & ~covered[1:]))
+        ends = np.cumsum(np.array([len(s) for s in segments]) + 1)
+        bare = np.flatnonzero(~covered[1:-1])
+        bare = bare[~np.isin(bare, ends - 1)].tolist()
+        width = (chosen >= 0).astype(np.int64)
+        spelt = [text[k].encode() for k in bare]
+        width[bare] = [len(x) for x in spelt]
+        ids = np.repeat(chosen, width)
+        if bare:
+            is_bare = np.zeros(len(text), bool)
+            is_bare[bare] = True
+            ids[np.repeat(is_bare, width)] = self.byte_ids[np.frombuffer(b"".join(spelt), np.uint8)]
+        return ids.astype(np.int32), np.diff(np.concatenate([[0], np.cumsum(width)])[np.concatenate([[0], ends])])
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids: the space that encoding put first goes, bytes that are no character become U+FFFD."""
@@ -250,18 +297,15 @@ class Encoder:
 
     def add(self, segments: list[bytes]) -> None:
         """Encode new segments and keep their ids, some at a time."""
-        found: list[list[int]] = []
         texts = [s.decode() for s in segments]
         ends = np.cumsum([len(t) for t in texts])
         cuts = np.unique(np.searchsorted(ends, np.arange(RUN_CHARS, int(ends[-1]) + RUN_CHARS, RUN_CHARS), "right")).tolist()
-        for a, b in zip([0, *cuts], [*cuts, len(texts)]):
-            if a < b:
-                found += self.pieces.encode(texts[a:b])
-        lengths = np.array([len(f) for f in found], np.int64)
+        parts = [self.pieces.encode(texts[a:b]) for a, b in zip([0, *cuts], [*cuts, len(texts)]) if a < b]
+        lengths = np.concatenate([n for _, n in parts])
         self.slots.update(zip(segments, range(len(self.slots), len(self.slots) + len(segments))))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.int32)])
+        self.ids = np.concatenate([self.ids, *[i for i, _ in parts]])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the offsets of each text among them.
@@ -325,5 +369,6 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
 @F.arrow_udf(T.StringType())
 def decimal_sha256(ids: pa.Array) -> pa.Array:
-    """SHA-256 of each list as decimal numbers joined by commas."""
-    return pa.array([hashlib.sha256(",".join(map(str, row)).encode()).hexdigest() for row in ids.to_pylist()], pa.string())
+    """SHA-256 of each list as decimal numbers joined by commas; one list at a time is text."""
+    offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+    return pa.array([hashlib.sha256(",".join(map(str, values[a:b].tolist())).encode()).hexdigest() for a, b in zip(offsets, offsets[1:])], pa.string())

@@ -1,6 +1,6 @@
 """Global order of rows without a window over all of them: blocks, row numbers and cyclic shifts."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsframe.session import cut_lineage
@@ -31,12 +31,16 @@ def numbered(df: DataFrame, order, name: str = "number", rows_per_block: int = 5
     return rows.withColumn("_own", own).join(offsets, "_block").withColumn(name, F.col("_offset") + F.col("_own")).drop("_block", "_own", "_offset")
 
 
-def rotated(df: DataFrame, columns, shift: Column | int, order, rows_per_block: int = 50_000) -> DataFrame:
-    """``df`` with the given columns taken from the row ``shift`` places earlier, the first rows from the last ones.
+def rotated(df: DataFrame, shifts: dict[str, int], order, rows_per_block: int = 50_000) -> DataFrame:
+    """``df`` with each named column taken from the row that is its shift later in the order, the last rows from the first ones.
 
-    Rows meet by their number modulo the count: an equi-join on distinct numbers, which no key skews.
+    Rows meet by their number modulo the count: an equi-join on distinct numbers, which no key
+    skews, for each distinct shift.
     """
     rows = cut_lineage(numbered(df, order, "_number", rows_per_block))
-    n = rows.count()
-    source = rows.select((F.pmod(F.col("_number") - 1 + shift, F.lit(max(n, 1))) + 1).alias("_number"), *[F.col(c).alias(f"_r_{c}") for c in columns])
-    return rows.drop(*columns).join(source, "_number").select(*[F.col(f"_r_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
+    n = max(rows.count(), 1)
+    out = rows.drop(*shifts)
+    for shift in sorted({k % n for k in shifts.values()}):
+        mine = [c for c, k in shifts.items() if k % n == shift]
+        out = out.join(rows.select((F.pmod(F.col("_number") - 1 - shift, F.lit(n)) + 1).alias("_number"), *mine), "_number")
+    return out.select(df.columns)

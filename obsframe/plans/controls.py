@@ -262,5 +262,5 @@ FB = f"""fb AS (SELECT *, row_number() OVER w AS rn FROM (SELECT *, coalesce(act
 fc AS (SELECT *, rn - coalesce(max(CASE WHEN hit THEN rn END) OVER (PARTITION BY group_id ORDER BY target_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS ms, avg(hit::INTEGER) OVER (PARTITION BY group_id ORDER BY target_date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS acc FROM fb)"""
 register(
     "o20_feedback", lambda t: Q.feedback(pair_outcomes(t), ("group_id",)).select("group_id", "target_date", "actual_rank", "correct", "top_k_hit", "miss_streak", "recent_accuracy", "error_source", "decision"),
-    q(f"SELECT group_id, {day('target_date')}, actual_rank, hit AS correct, near AS top_k_hit, CAST(ms AS INTEGER) AS miss_streak, {r('acc', 'recent_accuracy')}, CASE WHEN hit THEN 'none' WHEN near THEN 'ranking' ELSE 'unknown' END AS error_source, CASE WHEN ms >= 2 OR acc < 0.5 OR (near AND NOT hit) THEN 'RETRAIN' ELSE 'HOLD' END AS decision FROM fc", MK, PW, PR, OCP, FB),
+    q(f"SELECT group_id, {day('target_date')}, actual_rank, hit AS correct, near AS top_k_hit, CAST(ms AS INTEGER) AS miss_streak, {r('acc', 'recent_accuracy')}, 'unknown' AS error_source, CASE WHEN ms >= 2 OR acc < 0.5 THEN 'RETRAIN' ELSE 'HOLD' END AS decision FROM fc", MK, PW, PR, OCP, FB),
 )

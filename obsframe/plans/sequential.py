@@ -1,17 +1,28 @@
-"""Staged prediction, row-by-row learning, walk-forward backtests and sequential streams (F25, P12, P20, Q3, S1-S4)."""
+"""Staged prediction, row-by-row learning, backtests, decoding, selection, comparison and feedback (F25, N4, N5, O20, P5, P12, P17, P20, Q1, Q3, Q7, R9, S1-S4)."""
 
 from pyspark.sql import functions as F
 
 from obsframe import layout as L
+from obsframe.operators import feedback as FB_
+from obsframe.operators import hidden_markov as HM
+from obsframe.operators import modelling as MD
 from obsframe.operators import probabilities as P
 from obsframe.operators import relationships as R
+from obsframe.operators import retraining as RT
+from obsframe.operators import run_comparison as RC
+from obsframe.operators import selection as SE
 from obsframe.operators import staged as G
 from obsframe.operators import walk_forward as WF
+from obsframe.operators.evaluation import evaluate
+from obsframe.operators.models import digit_sequences, score
+from obsframe.operators.scans import history
+from obsframe.operators.sequences import rotated
 from obsframe.plans.catalog import CUSTOMERS_PER_ENTITY, day, doubles, ints, per_digit, q, r, register
 from obsframe.plans.features import E as ENT
 from obsframe.plans.features import ID, S, back
 from obsframe.plans.observations import PRIOR
-from obsframe.plans.rankings import F0, MK, both_models
+from obsframe.plans.rankings import F0, MK, PR, PW, TAILS, TR, WM, both_models, predictions
+from obsframe.session import cut_lineage
 from obsframe.streaming import sequential as Q
 from obsframe.streaming.flows import run_to_table, work_folder
 
@@ -226,3 +237,232 @@ register(
     "q03_consensus_backtest", lambda t: WF.consensus_backtest(*consensuses(t)),
     q(f"SELECT consensus, count(*) AS n_obs, {MEANS}, {r('max(agreement)', 'agreement')} FROM (SELECT consensus, {SCORE} FROM bs), js GROUP BY GROUPING SETS ((consensus), ())", MK, F0, f"bs AS ({BLENDS})", JS),
 )
+
+# -- P5 -----------------------------------------------------------------------
+# Series are fitted and decoded per position; the fit has no SQL text, tests hold decoding against enumeration.
+
+
+def hidden_models(t):
+    sequences = digit_sequences(t.long)
+    return sequences, HM.fit_models(sequences)
+
+
+def decoded(t):
+    sequences, models = hidden_models(t)
+    rows = HM.decode(sequences, models)
+    steps = F.arrays_zip(F.col("path").alias("state"), F.col("posteriors").alias("posterior"))
+    return rows.select("entity_id", "position", "log_likelihood", F.posexplode(steps).alias("step", "s")).select(
+        "entity_id", "position", "step", F.col("s.state").alias("state"), F.col("s.posterior").alias("posterior"), "log_likelihood")
+
+
+register("p05_hidden_states", decoded)
+register("p05_next_symbol_metrics", lambda t: evaluate(HM.next_symbol_rows(*hidden_models(t)), ["position"]))
+
+# -- N4, N5 -------------------------------------------------------------------
+
+PAIR_TAIL = ["q4", "q5", "q6", "q7", "q8"]
+NEAR = f"""pw_ AS (SELECT entity_id, obs_date, code, round(prod / sum(prod) OVER (PARTITION BY entity_id, obs_date), {SE.PLACES}) AS prob FROM pr_s),
+fw_ AS (SELECT *, row_number() OVER (PARTITION BY entity_id, obs_date, family ORDER BY prob DESC, code) AS k FROM (SELECT entity_id, obs_date, code, family, round(prod / sum(prod) OVER (PARTITION BY entity_id, obs_date, family), {SE.PLACES}) AS prob FROM tr_s))"""
+JOINT = 5
+register(
+    "n05_joint_codes", lambda t: SE.select_jointly(predictions(t, ("p4", "p5", "p6", "p7", "p8")), PAIR_TAIL, TAILS, ["entity_id", "obs_date"], JOINT),
+    q(f"""SELECT {ID}, CAST(rank AS INTEGER) AS rank, pair, {r('pair_prob', 'pair_prob')}, first_tail, {r('first_prob', 'first_prob')}, second_tail, {r('second_prob', 'second_prob')}, {r('score', 'joint_score')} FROM (
+      SELECT *, row_number() OVER (PARTITION BY entity_id, obs_date ORDER BY score DESC, pair, first_tail, second_tail) AS rank FROM (
+      SELECT p.entity_id, p.obs_date, p.code AS pair, p.prob AS pair_prob, a.code AS first_tail, a.prob AS first_prob, b.code AS second_tail, b.prob AS second_prob, p.prob * a.prob * b.prob AS score FROM pw_ p
+      JOIN fw_ a ON a.entity_id = p.entity_id AND a.obs_date = p.obs_date AND a.family = CAST(substr(p.code, 1, 1) AS INTEGER) AND a.k <= {JOINT}
+      JOIN fw_ b ON b.entity_id = p.entity_id AND b.obs_date = p.obs_date AND b.family = CAST(substr(p.code, 2, 1) AS INTEGER) AND b.k <= {JOINT})) WHERE rank <= {JOINT}""", MK, PW, PR, TR, NEAR),
+)
+register(
+    "n04_family_codes", lambda t: SE.rank_in_families(predictions(t, ("p6", "p7", "p8")), ["q6", "q7", "q8"], TAILS, ["entity_id", "obs_date"], "pair", 10),
+    q(f"""SELECT o.entity_id, {day('o.obs_date', 'obs_date')}, side, digit, CAST(k AS INTEGER) AS rank, code, {r('prob', 'prob')}, family, {r('sum(prob) OVER (PARTITION BY o.entity_id, o.obs_date, side ORDER BY k)', 'cum_prob')} FROM (
+      SELECT entity_id, obs_date, 'first' AS side, substr(pair, 1, 1) AS digit FROM obs UNION ALL SELECT entity_id, obs_date, 'second', substr(pair, 2, 1) FROM obs) o
+      JOIN fw_ ON fw_.entity_id = o.entity_id AND fw_.obs_date = o.obs_date AND family = CAST(digit AS INTEGER) WHERE k <= 10""", MK, PW, PR, TR, NEAR),
+)
+
+# -- R9 -----------------------------------------------------------------------
+
+COMPARED = ("head", "pair", "tail")
+
+
+def changed_run(t):
+    """The observations with one tail exchanged (the least id) and one row left out (the largest id), in another order."""
+    ends = t.obs.agg(F.min("obs_id").alias("least"), F.max("obs_id").alias("largest"))
+    rows = t.obs.select("obs_id", *COMPARED).join(F.broadcast(ends)).where(F.col("obs_id") != F.col("largest"))
+    return rows.withColumn("tail", F.when(F.col("obs_id") == F.col("least"), F.reverse("tail")).otherwise(F.col("tail"))).select("obs_id", *COMPARED).repartition(7)
+
+
+CELLS = " UNION ALL ".join(f"SELECT obs_id, '{c}' AS col, {c} AS v FROM {{t}}" for c in COMPARED)
+RUNS = f"""ends AS (SELECT min(obs_id) AS least, max(obs_id) AS largest FROM obs),
+other AS (SELECT obs_id, head, pair, CASE WHEN obs_id = least THEN reverse(tail) ELSE tail END AS tail FROM obs, ends WHERE obs_id <> largest),
+ca AS ({CELLS.replace('{t}', 'obs')}), cb AS ({CELLS.replace('{t}', 'other')}),
+dc AS (SELECT coalesce(ca.obs_id, cb.obs_id) AS obs_id, coalesce(ca.col, cb.col) AS col, ca.v AS first_value, cb.v AS second_value FROM ca FULL JOIN cb ON ca.obs_id = cb.obs_id AND ca.col = cb.col WHERE ca.v IS DISTINCT FROM cb.v)"""
+register(
+    "r09_differing_cells", lambda t: RC.differing_cells(t.obs.select("obs_id", *COMPARED), changed_run(t), ["obs_id"]).withColumnRenamed("column", "column_name"),
+    q("SELECT obs_id, col AS column_name, first_value, second_value FROM dc", RUNS),
+)
+register(
+    "r09_differing_ranges", lambda t: RC.differing_ranges(t.obs.select("obs_id", *COMPARED), changed_run(t), ["obs_id"]).withColumnRenamed("column", "column_name"),
+    q("""SELECT level, key_range, column_name, count(first_v) AS first_rows, count(second_v) AS second_rows FROM (
+      SELECT DISTINCT CAST(l.range AS INTEGER) AS level, substr(md5(CAST(d.obs_id AS VARCHAR)), 1, l.range) AS key_range, d.col AS column_name FROM dc d, range(4) l)
+      JOIN (SELECT coalesce(ca.obs_id, cb.obs_id) AS i, coalesce(ca.col, cb.col) AS c, ca.v AS first_v, cb.v AS second_v FROM ca FULL JOIN cb ON ca.obs_id = cb.obs_id AND ca.col = cb.col) ON c = column_name AND substr(md5(CAST(i AS VARCHAR)), 1, level) = key_range
+      GROUP BY 1, 2, 3""", RUNS),
+)
+register(
+    "r09_run_verdict", lambda t: RC.run_verdict(t.obs.select("obs_id", *COMPARED), changed_run(t), ["obs_id"]),
+    q("SELECT (SELECT count(*) FROM obs) AS first_rows, (SELECT count(*) FROM other) AS second_rows, (SELECT string_agg(DISTINCT col, ',' ORDER BY col) FROM dc) AS differing_columns, 'DIFFERENT' AS status", RUNS),
+)
+
+# -- O20 ----------------------------------------------------------------------
+
+
+def judged(t):
+    """Outcomes of the Markov rows of p4 with flags from the rows themselves: few rows before, low confidence, a small margin, a flat distribution."""
+    rows = P.consensus_shape(P.markov_rows(t.long.where("position = 'p4'")))
+    seen = rows.withColumn("seen", F.row_number().over(history("entity_id")))
+    flags = {"data_valid": F.col("seen") >= 20, "model_stable": F.col("top_prob") >= 0.14, "ranking_stable": F.col("margin") >= 0.004, "distribution_stable": F.col("entropy") <= 2.29}
+    return FB_.retraining(FB_.diagnosed(FB_.prediction_outcomes(seen), flags))
+
+
+def challenged(t):
+    """Smoothed rows against the plain ones per entity: accuracy over all rows, the even days and the later ones."""
+    plain = P.markov_rows(t.long.where("position = 'p4'"))
+    smooth = P.markov_rows(t.long.where("position = 'p4'"), smoothing=25.0)
+
+    def shares(rows, side):
+        out = FB_.prediction_outcomes(rows)
+        hit = lambda where: F.coalesce(F.avg(F.when(where, F.col("correct").cast("double"))), F.lit(0.0))
+        return out.groupBy("entity_id").agg(hit(F.lit(True)).alias(f"{side}_accuracy"), hit(F.dayofmonth("obs_date") % 2 == 0).alias(f"{side}_validation_accuracy"), hit(F.col("obs_date") >= "1998-01-01").alias(f"{side}_walk_forward_accuracy"))
+
+    return FB_.promotions(shares(plain, "champion").join(shares(smooth, "challenger"), "entity_id"), floor=0.1, gain=0.001)
+
+
+ENTROPY = "list_sum(list_transform(probs, lambda p: -p * ln(p)))"
+JUDGED = f"""jp AS (SELECT entity_id, obs_date, target, probs, list_position(probs, list_max(probs)) - 1 AS prediction, list_max(probs) AS top, list_reverse_sort(probs)[1] - list_reverse_sort(probs)[2] AS margin, {ENTROPY} AS ent,
+  row_number() OVER (PARTITION BY entity_id ORDER BY obs_date) AS seen, len(list_filter(range(0, 10), lambda d: probs[d + 1] > probs[target + 1] OR (probs[d + 1] = probs[target + 1] AND d < target))) + 1 AS rank FROM mk WHERE position = 'p4'),
+jd AS (SELECT *, prediction = target AS correct, CASE WHEN prediction = target THEN 'unknown' WHEN seen < 20 THEN 'data_quality' WHEN top < 0.14 THEN 'model' WHEN margin < 0.004 THEN 'ranking' WHEN ent > 2.29 THEN 'distribution_shift' ELSE 'unknown' END AS source FROM jp),
+jl AS (SELECT *, list(correct) OVER (PARTITION BY entity_id ORDER BY obs_date ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) AS h FROM jd),
+jr AS (SELECT *, len(list_filter(h, lambda c: c)) / len(h)::DOUBLE AS acc, coalesce(nullif(list_position(list_reverse(h), true), 0) - 1, len(h)) AS ms FROM jl),
+ja AS (SELECT *, list_filter([CASE WHEN acc < 0.5 THEN '{FB_.LOW_ACCURACY}' END, CASE WHEN ms >= 2 THEN '{FB_.LONG_STREAK}' END, CASE WHEN NOT correct AND source <> 'unknown' THEN '{FB_.DIAGNOSED}' END], lambda x: x IS NOT NULL) AS reasons,
+  list_filter([CASE WHEN NOT correct THEN 'CURRENT_PREDICTION_MISS' END, CASE WHEN rank > 3 THEN 'CURRENT_TOP_K_MISS' END, CASE WHEN acc < 0.5 THEN 'RECENT_ACCURACY=' || printf('%.6f', acc) END, CASE WHEN ms >= 2 THEN 'MISS_STREAK=' || ms END, CASE WHEN NOT correct AND source <> 'unknown' THEN 'ERROR_SOURCE=' || source END], lambda x: x IS NOT NULL) AS evidence FROM jr)"""
+SIDE = """SELECT entity_id, avg((pred = target)::INTEGER) AS acc, coalesce(avg((pred = target)::INTEGER) FILTER (day(obs_date) % 2 = 0), 0) AS val, coalesce(avg((pred = target)::INTEGER) FILTER (obs_date >= DATE '1998-01-01'), 0) AS wf
+  FROM (SELECT entity_id, obs_date, target, list_position(probs, list_max(probs)) - 1 AS pred FROM {t} WHERE position = 'p4') GROUP BY 1"""
+PROMOTED = f"""sm AS (SELECT entity_id, position, obs_date, value AS target, {per_digit(f'(count(*) FILTER (value = {{d}}) OVER {WM} + 25.0::DOUBLE) / (count(*) OVER {WM} + 250.0::DOUBLE)')} AS probs FROM (SELECT *, lag(value) OVER {S}) AS pv FROM longs) WHERE pv IS NOT NULL),
+sides AS (SELECT a.entity_id, a.acc AS ca, a.val AS cv, a.wf AS cw, b.acc AS ha, b.val AS hv, b.wf AS hw FROM ({SIDE.replace('{t}', 'mk')}) a JOIN ({SIDE.replace('{t}', 'sm')}) b USING (entity_id)),
+pm AS (SELECT *, ha - ca AS gain, list_filter([CASE WHEN ha < 0.1 THEN '{FB_.FLOOR}' END, CASE WHEN hv < cv THEN '{FB_.VALIDATION}' END, CASE WHEN hw < cw THEN '{FB_.WALK_FORWARD}' END, CASE WHEN ha - ca < 0.001 THEN '{FB_.GAIN}' END], lambda x: x IS NOT NULL) AS failed FROM sides)"""
+register(
+    "o20_feedback_cycle",
+    lambda t: FB_.feedback_cycle(judged(t), challenged(t)).select("entity_id", "obs_date", "prediction", "correct", "top_k_hit", "prediction_error", "actual_rank", "reciprocal_rank", "error_source", "recent_accuracy", "miss_streak", "reasons", "evidence", F.size("actions").alias("n_actions"), "decision", "promotion", "promotion_reasons", "gain"),
+    q(f"""SELECT {ID}, CAST(prediction AS INTEGER) AS prediction, correct, rank <= 3 AS top_k_hit, CAST(prediction - target AS INTEGER) AS prediction_error, CAST(rank AS INTEGER) AS actual_rank, {r('1.0 / rank', 'reciprocal_rank')}, source AS error_source, {r('acc', 'recent_accuracy')}, CAST(ms AS INTEGER) AS miss_streak,
+      array_to_string(reasons, ',') AS reasons, array_to_string(evidence, ',') AS evidence, CAST(CASE WHEN len(reasons) > 0 THEN 5 ELSE 0 END AS INTEGER) AS n_actions, CASE WHEN len(reasons) > 0 THEN 'RETRAIN' ELSE 'HOLD' END AS decision,
+      CASE WHEN len(reasons) > 0 AND len(failed) = 0 THEN 'PROMOTE' ELSE 'REJECT' END AS promotion, CASE WHEN len(reasons) = 0 THEN '{FB_.NOT_TRIGGERED}' WHEN len(failed) = 0 THEN '{FB_.PASSED}' ELSE array_to_string(failed, ',') END AS promotion_reasons, {r('CASE WHEN len(reasons) > 0 THEN gain ELSE 0 END', 'gain')}
+      FROM ja JOIN pm USING (entity_id)""", MK, JUDGED, PROMOTED),
+)
+register(
+    "o20_error_breakdown", lambda t: FB_.error_breakdown(judged(t), ["entity_id"]),
+    q(f"SELECT entity_id, s AS error_source, (SELECT count(*) FROM jd WHERE jd.entity_id = e.entity_id AND NOT correct AND source = s) AS n_misses FROM (SELECT DISTINCT entity_id FROM jd) e, (SELECT unnest([{', '.join(repr(s) for s in (*FB_.SOURCES, FB_.UNKNOWN))}]) AS s)", MK, JUDGED),
+)
+
+# -- Q1, Q7, P17 --------------------------------------------------------------
+
+FLAT = "(" + " + ".join(L.POSITIONS) + ")"
+SQUARES = "(" + " + ".join(f"{p} * {p}" for p in L.POSITIONS) + ")"
+
+
+def change(positions) -> str:
+    return "coalesce(" + " + ".join(f"abs(lag({p}) OVER {ENT}) - lag({p}, 2) OVER {ENT}))" for p in positions) + ", 0)"
+
+
+def rolling(n: int) -> str:
+    w = f"OVER {ENT} {back(n)})"
+    total = f"(8 * count(*) {w})"
+    rates = ", ".join(r(f"coalesce(round(sum({' + '.join(f'({p} = {d})::INTEGER' for p in L.POSITIONS)}) {w} / nullif({total}, 0)::DOUBLE, 8), 0)", f"rolling_{n}_digit_{d}_rate") for d in range(10))
+    mean, std = f"sum({FLAT}) {w} / nullif({total}, 0)::DOUBLE", f"sqrt(greatest({total} * sum({SQUARES}) {w} - (sum({FLAT}) {w}) ** 2, 0)::DOUBLE) / nullif({total}, 0)"
+    return f"{r(f'coalesce(round({mean}, 8), 0)', f'rolling_{n}_mean')}, {r(f'coalesce(round({std}, 8), 0)', f'rolling_{n}_std')}, CAST(coalesce(sum({FLAT}) {w}, 0) AS BIGINT) AS rolling_{n}_sum, {rates}"
+
+
+register(
+    "q07_modelling_rows", lambda t: MD.modelling_rows(t.obs),
+    q(f"SELECT {ID}, p1 AS current_p1, p2 AS current_p2, p3 AS current_p3, " + ", ".join(f"coalesce(lag({p}, {k}) OVER {ENT}), 0) AS lag_{k}_{p}" for k in L.LAGS for p in L.POSITIONS) + ", " + ", ".join(rolling(n) for n in MD.WINDOWS) + ", "
+      + ", ".join(f"{change(ps)} AS {code}_change_sum" for code, ps in L.CODES.items())
+      + ", CAST(isodow(obs_date) - 1 AS INTEGER) AS day_of_week, CAST(day(obs_date) AS INTEGER) AS day_of_month, CAST(month(obs_date) AS INTEGER) AS month, CAST(quarter(obs_date) AS INTEGER) AS quarter, CAST(year(obs_date) AS INTEGER) AS year, "
+      + ", ".join(f"{p} AS target_{p}" for p in MD.TARGETS) + " FROM obs"),
+)
+WINDOWED = """wd AS (SELECT entity_id, list(DISTINCT obs_date ORDER BY obs_date) AS d, count(DISTINCT obs_date) AS n FROM obs GROUP BY 1),
+wn AS (SELECT *, greatest(100, CAST(floor(n * 0.7::DOUBLE) AS BIGINT)) AS t, greatest(1, CAST(floor(n * 0.15::DOUBLE) AS BIGINT)) AS v FROM wd WHERE n >= 103),
+wk AS (SELECT *, least(5, n - t - v) AS k, greatest(1, (n - t - v) // least(5, n - t - v)) AS size FROM wn WHERE n - t - v >= 1),
+ww AS (SELECT *, t + v + i * size AS b, CASE WHEN i = k - 1 THEN n ELSE least(n, t + v + i * size + size) END AS e, greatest(t, t + v + i * size - v) AS c FROM (SELECT *, unnest(range(k)) AS i FROM wk))"""
+register(
+    "q01_walk_forward_windows", lambda t: MD.walk_forward_windows(t.obs),
+    q(f"SELECT entity_id, CAST(i + 1 AS INTEGER) AS fold, {day('d[1]', 'train_start')}, {day('d[c]', 'train_end')}, {day('d[c + 1]', 'validation_start')}, {day('d[b]', 'validation_end')}, {day('d[b + 1]', 'test_start')}, {day('d[e]', 'test_end')}, CAST(c AS INTEGER) AS train_count, CAST(b - c AS INTEGER) AS validation_count, CAST(e - b AS INTEGER) AS test_count FROM ww WHERE b < e AND c >= 100", WINDOWED),
+)
+ROTATED = {"current_p1": 17, "lag_1_p4": 40, "lag_1_p8": 40}
+RR = "rn AS (SELECT *, row_number() OVER (ORDER BY obs_date, entity_id) AS k, count(*) OVER () AS n FROM (SELECT entity_id, obs_date, p1, coalesce(lag(p4) OVER w, 0) AS l4, coalesce(lag(p8) OVER w, 0) AS l8 FROM obs WINDOW w AS (PARTITION BY entity_id ORDER BY obs_date)))"
+register(
+    "p17_rotated_features",
+    lambda t: rotated(MD.modelling_rows(t.obs).select("entity_id", "obs_date", *ROTATED), ROTATED, ["obs_date", "entity_id"]),
+    q(f"SELECT a.entity_id, {day('a.obs_date', 'obs_date')}, b.p1 AS current_p1, c.l4 AS lag_1_p4, c.l8 AS lag_1_p8 FROM rn a JOIN rn b ON b.k = (a.k - 1 + 17) % a.n + 1 JOIN rn c ON c.k = (a.k - 1 + 40) % a.n + 1", RR),
+)
+
+
+def stability(t):
+    """Every fold of the windows that the dates of all entities together have."""
+    rows = cut_lineage(MD.modelling_rows(t.obs))
+    windows = MD.walk_forward_windows(rows.select(F.lit(0).alias("all"), "obs_date"), ("all",)).orderBy("fold").collect()
+    return MD.stability_report(rows, [(w.fold, w.train_end, w.test_start, w.test_end) for w in windows])
+
+
+register("p17_stability_report", stability)
+
+# -- D8, P16, P18 -------------------------------------------------------------
+
+
+def staged_targets(t):
+    """Staged features, and the targets of most of their rows."""
+    rows = G.staged_rows(t.obs)
+    known = t.obs.where(F.col("obs_id") % 11 != 0).select("entity_id", "obs_date", F.col("p4").alias("target"))
+    return rows.select("entity_id", "obs_date", "features_3"), known
+
+
+register(
+    "d08_missing_targets", lambda t: RT.missing_targets(*staged_targets(t)),
+    q(f"SELECT {ID} FROM st WHERE obs_id % 11 = 0", EARLIER, STAGED),
+)
+FEATURES = ("current_p1", "current_p2", "current_p3", "day_of_week", "pair_change_sum")
+
+
+def retraining_rows(t):
+    targets = t.obs.select("entity_id", "obs_date", F.col("p4").alias("target"))
+    return RT.retraining_dataset(MD.modelling_rows(t.obs).select("entity_id", "obs_date", *FEATURES), targets)
+
+
+DATED = """rs AS (SELECT entity_id, list(obs_date ORDER BY obs_date) AS d, count(*) AS n FROM obs GROUP BY 1),
+rt AS (SELECT *, greatest(1, CAST(floor(n * 0.7::DOUBLE) AS BIGINT)) AS a, greatest(1, CAST(floor(n * 0.15::DOUBLE) AS BIGINT)) AS b FROM rs WHERE n >= 3),
+rc AS (SELECT entity_id, d[CASE WHEN a + b >= n THEN n - 2 ELSE a END] AS first_cut, d[CASE WHEN a + b >= n THEN n - 1 ELSE a + b END] AS second_cut FROM rt)"""
+register(
+    "p18_retraining_dataset", retraining_rows,
+    q(f"""SELECT {ID}, p1 AS current_p1, p2 AS current_p2, p3 AS current_p3, wd AS day_of_week, pc AS pair_change_sum, p4 AS target, CASE WHEN obs_date <= first_cut THEN 'TRAIN' WHEN obs_date <= second_cut THEN 'VALIDATION' ELSE 'TEST' END AS split,
+      sha256('{{"current_p1":' || p1 || ',"current_p2":' || p2 || ',"current_p3":' || p3 || ',"day_of_week":' || wd || ',"pair_change_sum":' || pc || '}}') AS row_identity
+      FROM (SELECT *, CAST(isodow(obs_date) - 1 AS INTEGER) AS wd, {change(L.CODES['pair'])} AS pc FROM obs) JOIN rc USING (entity_id)""", DATED),
+)
+
+
+def retrained(t):
+    """A tree on the training rows of every entity, scored on all three splits, and the checks of its metrics."""
+    rows = cut_lineage(retraining_rows(t).withColumnRenamed("target", "target_p4"))
+    model = MD.fit_tree(rows.where("split = 'TRAIN'"), FEATURES, "p4", MD.FIRST_SEED)
+    parts = [score(model, rows.where(F.col("split") == s).withColumn("label", F.col("target_p4").cast("double")), "tree").withColumn("split", F.lit(s)) for s in RT.SPLITS]
+    return RT.split_metrics(parts[0].unionByName(parts[1]).unionByName(parts[2])), rows
+
+
+register("p18_split_metrics", lambda t: retrained(t)[0])
+register("p18_retraining_checks", lambda t: RT.retraining_checks(*retrained(t), min_accuracy=0.05, max_log_loss=10.0))
+
+
+def explained(t):
+    rows = cut_lineage(MD.modelling_rows(t.obs))
+    windows = MD.walk_forward_windows(rows.select(F.lit(0).alias("all"), "obs_date"), ("all",)).orderBy("fold").collect()
+    return MD.explain_folds(rows, [(w.fold, w.train_end, w.test_start, w.test_end) for w in windows])
+
+
+register("p16_importance_over_folds", lambda t: explained(t)[0])
+register("p16_digit_performance", lambda t: explained(t)[1])

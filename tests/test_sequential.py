@@ -260,8 +260,8 @@ def test_blocks_number_and_rotate_in_global_order(spark, obs, rows):
     order = sorted(rows, key=lambda r: (r[1], r[0]))
     got = {(r.entity_id, r.obs_date): r.number for r in numbered(obs, ["obs_date", "entity_id"], rows_per_block=9).collect()}
     assert got == {(r[0], r[1]): i for i, r in enumerate(order, 1)}
-    turned = {(r.entity_id, r.obs_date): (r.p1, r.p2) for r in rotated(obs, ["p1"], 5, ["obs_date", "entity_id"], 9).collect()}
-    assert turned == {(r[0], r[1]): (order[(i + 5) % len(order)][2], r[3]) for i, r in enumerate(order)}
+    turned = {(r.entity_id, r.obs_date): (r.p1, r.p2, r.p3, r.p4) for r in rotated(obs, {"p1": 5, "p3": 5 + len(rows), "p4": -1}, ["obs_date", "entity_id"], 9).collect()}
+    assert turned == {(r[0], r[1]): (order[(i + 5) % len(order)][2], r[3], order[(i + 5) % len(order)][4], order[i - 1][5]) for i, r in enumerate(order)}
 
 
 def test_relationship_rows(obs, rows):

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from obsframe import layout as L
+from obsframe.operators import evaluation as EV
+from obsframe.operators import feature_audit as FA
 from obsframe.operators import feedback as FB_
 from obsframe.operators import hidden_markov as HM
 from obsframe.operators import modelling as MD
@@ -13,15 +15,17 @@ from obsframe.operators import run_comparison as RC
 from obsframe.operators import selection as SE
 from obsframe.operators import staged as G
 from obsframe.operators import walk_forward as WF
+from obsframe.operators.backtest import assign_folds
 from obsframe.operators.evaluation import evaluate
 from obsframe.operators.models import digit_sequences, score
 from obsframe.operators.scans import history
 from obsframe.operators.sequences import rotated
 from obsframe.plans.catalog import CUSTOMERS_PER_ENTITY, day, doubles, ints, per_digit, q, r, register
+from obsframe.plans.controls import FOLDS, folds
 from obsframe.plans.features import E as ENT
 from obsframe.plans.features import ID, S, back
 from obsframe.plans.observations import PRIOR
-from obsframe.plans.rankings import F0, MK, PR, PW, TAILS, TR, WM, both_models, predictions
+from obsframe.plans.rankings import F0, KS, MK, MRR, OUT, PR, PW, TAILS, TR, WM, both_models, hit, outcome_rows, predictions
 from obsframe.session import cut_lineage
 from obsframe.streaming import sequential as Q
 from obsframe.streaming.flows import run_to_table, work_folder
@@ -466,3 +470,46 @@ def explained(t):
 
 register("p16_importance_over_folds", lambda t: explained(t)[0])
 register("p16_digit_performance", lambda t: explained(t)[1])
+
+# -- Q4, R7, R8 ---------------------------------------------------------------
+
+TESTED = "ot AS (SELECT oc.*, fold FROM oc JOIN fo ON fo.entity_id = group_id AND target_date BETWEEN test_start AND test_end)"
+
+
+def tested_outcomes(t):
+    """Outcomes of both rankings whose target date lies in the test range of a fold."""
+    fo = folds(t).withColumnRenamed("entity_id", "group_id")
+    return assign_folds(outcome_rows(t), fo, ("group_id",), "target_date").drop("train_start", "train_end", "test_start", "test_end")
+
+
+register(
+    "q04_both_rankings", lambda t: EV.top_k_report(tested_outcomes(t), KS, ("source_type", "group_id", "fold")),
+    q(f"SELECT source_type, group_id, fold, count(*) AS n_obs, count(actual_rank) AS n_ranked, {', '.join(r(hit(k), f'hit_rate_{k}') for k in KS)}, {r(MRR, 'mrr')} FROM ot GROUP BY 1, 2, 3", *OUT, FOLDS, TESTED),
+)
+register(
+    "q04_both_actual_vs_ranked", lambda t: EV.actual_vs_ranked(tested_outcomes(t)),
+    q(f"SELECT source_type, count(*) AS n_obs, count(actual_rank) AS n_ranked, count(*) - count(actual_rank) AS n_missed, {r('avg(actual_rank)', 'mean_rank')}, {r('median(actual_rank)', 'median_rank')}, {r(MRR, 'mrr')}, {r('avg(top_prob)', 'mean_top_prob')}, {r('avg(cum_prob)', 'mean_cum_prob')} FROM ot GROUP BY 1", *OUT, FOLDS, TESTED),
+)
+
+
+def audited(t):
+    """The modelling table with the date that each row's features end at."""
+    return MD.modelling_rows(t.obs).join(t.obs.select("entity_id", "obs_date", F.lag("obs_date").over(history("entity_id")).alias("history_end")), ["entity_id", "obs_date"])
+
+
+AUDITED = ("lag_1_p4", "current_p1", "rolling_3_sum", "rolling_7_mean", "year", "quarter")
+register(
+    "r07_feature_report", lambda t: FA.feature_report(audited(t).select("entity_id", "obs_date", "history_end", *AUDITED), history_end="history_end"),
+    q("SELECT count(*) AS record_count, CAST(0 AS BIGINT) AS missing_values, CAST(0 AS BIGINT) AS non_finite_values, count(*) - count(DISTINCT (entity_id, obs_date)) AS duplicate_dates, CAST(0 AS BIGINT) AS chronological_violations, CAST(0 AS BIGINT) AS future_history, CAST(0 AS BIGINT) AS target_leaks, '' AS constant_features, CAST(6 AS INTEGER) AS feature_count, 'VALID' AS status FROM obs"),
+)
+register(
+    "r07_feature_ranges", lambda t: FA.feature_ranges(MD.modelling_rows(t.obs), ["lag_1_p4", "current_p1", "year"]),
+    q(" UNION ALL ".join(f"SELECT '{n}' AS feature_name, {r(f'min({e})', 'min')}, {r(f'max({e})', 'max')}, {r(f'round(avg({e}), 8)', 'mean')} FROM lv" for n, e in (("lag_1_p4", "l4"), ("current_p1", "p1"), ("year", "year(obs_date)"))),
+      "lv AS (SELECT *, coalesce(lag(p4) OVER (PARTITION BY entity_id ORDER BY obs_date), 0) AS l4 FROM obs)"),
+)
+NAMES = ", ".join([*(f"('current_{p}', '{p}', 'current', NULL, NULL, 'int')" for p in L.CODES["head"]), *(f"('lag_{k}_{p}', '{p}', 'lag', NULL, {k}, 'int')" for k in L.LAGS for p in L.POSITIONS)])
+register(
+    "r08_feature_catalogue",
+    lambda t: FA.feature_catalogue(MD.modelling_rows(t.obs)).where(F.col("kind").isin("current", "lag")).select("feature_name", "position", "kind", "window", "lag", "data_type"),
+    f"SELECT feature_name, position, kind, CAST(w AS INTEGER) AS \"window\", CAST(l AS INTEGER) AS lag, data_type FROM (VALUES {NAMES}) v(feature_name, position, kind, w, l, data_type)",
+)

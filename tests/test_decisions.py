@@ -297,3 +297,27 @@ def test_explanation_names_the_digit_that_decides(spark):
     per_digit = digits.collect()
     assert len(per_digit) == 20 and sum(r.support for r in per_digit) == 120
     assert sum(r.top1_hits for r in per_digit) > 108 and all(r.top1_hits <= r.top5_hits <= r.support for r in per_digit)
+
+
+def test_feature_report_counts_each_violation(spark):
+    from obsframe.operators.feature_audit import catalogue_issues, feature_catalogue, feature_ranges, feature_report
+
+    day = lambda n: START + timedelta(days=n)
+    rows = [
+        (1, day(0), 1, None, 1.0, 5, None), (1, day(1), 2, day(0), float("nan"), 5, 2), (1, day(1), 3, day(1), float("inf"), 5, 3), (1, day(0), 4, day(3), None, 5, 4), (2, day(0), 5, None, 2.0, 5, 5),
+    ]
+    df = spark.createDataFrame(rows, "entity_id int, obs_date date, seq int, seen date, lag_1_p1 double, rolling_3_sum int, p4 int")
+    got = feature_report(df, order="seq", history_end="seen").first()
+    assert (got.record_count, got.feature_count, got.missing_values, got.non_finite_values) == (5, 3, 2, 2)
+    assert (got.duplicate_dates, got.chronological_violations, got.future_history, got.target_leaks) == (2, 2, 2, 5)
+    assert got.constant_features == ["rolling_3_sum"] and got.status == "INVALID"
+    sound = df.where("seq = 5").drop("p4", "seen")
+    assert feature_report(sound, order="seq").first().status == "VALID" and feature_report(df.limit(0), order="seq").first().status == "VALID"
+    ranges = {r.feature_name: (r.min, r.max, r["mean"]) for r in feature_ranges(df, ["lag_1_p1", "rolling_3_sum"]).collect()}
+    assert ranges == {"lag_1_p1": (1.0, 2.0, 1.5), "rolling_3_sum": (5.0, 5.0, 5.0)}
+    catalogue = feature_catalogue(df.drop("seq", "seen"))
+    assert {(r.feature_name, r.position, r.kind, r.window, r.lag) for r in catalogue.collect()} == {("lag_1_p1", "p1", "lag", None, 1), ("rolling_3_sum", None, "rolling", 3, None), ("p4", "p4", "p4", None, None)}
+    assert catalogue_issues(df.drop("seq", "seen"), catalogue).count() == 0
+    other = spark.createDataFrame([("lag_1_p1", "int"), ("gone", "int"), ("p4", "int"), ("p4", "int")], "feature_name string, data_type string")
+    issues = {(r.feature_name, r.issue) for r in catalogue_issues(df.drop("seq", "seen"), other).collect()}
+    assert issues == {("lag_1_p1", "TYPE_MISMATCH"), ("gone", "MISSING_COLUMN"), ("rolling_3_sum", "UNDECLARED_COLUMN"), ("p4", "DUPLICATE_NAME")}

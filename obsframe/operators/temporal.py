@@ -191,6 +191,19 @@ def consolidated_summary(consolidated: DataFrame, metrics, keys=("entity_id",))
     )
 
 
+def position_comparison(consolidated: DataFrame, metrics, keys=("entity_id",)) -> DataFrame:
+    """Every pair of positions of a key and every metric: both values, a missing one as zero, and first minus second.
+
+    A key's positions are one array of at most eight rows; pairs are made inside it, without a self-join.
+    """
+    values = [F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in metrics]
+    rows = consolidated.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", *values))).alias("p"))
+    pairs = F.flatten(F.transform("p", lambda a, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"a.{m}").alias("value_a"), F.col(f"b.{m}").alias("value_b")) for m in metrics])
+    out = rows.select(*keys, F.inline(pairs)).select(*keys, F.col("a.position").alias("position_a"), F.col("b.position").alias("position_b"), F.inline(cells))
+    return out.withColumn("difference", F.col("value_a") - F.col("value_b"))
+
+
 def completeness(consolidated: DataFrame, names, expected: int = len(L.POSITIONS), keys=("entity_id",)) -> DataFrame:
     """One check row per component: positions present, expected and missing."""
     present = consolidated.groupBy(*keys).agg(*[F.count_if(F.col(f"has_{n}")).alias(n) for n in names])

@@ -319,6 +319,10 @@ register(
     "l10_consolidated_summary", lambda t: TP.consolidated_summary(consolidated(t), CMETRICS),
     q("SELECT entity_id, count(*) AS n_positions, " + ", ".join(f"{r(f'sum(coalesce({m}, 0))', f'total_{m}')}, {r(f'avg(coalesce({m}, 0))', f'average_{m}')}" for m in CMETRICS) + " FROM co GROUP BY 1", FREQ, LSTEP, LA, RG, CO),
 )
+register(
+    "l10_position_comparison", lambda t: TP.position_comparison(consolidated(t), CMETRICS),
+    q(" UNION ALL ".join(f"SELECT a.entity_id, a.position AS position_a, b.position AS position_b, '{m}' AS metric, {r(f'coalesce(a.{m}, 0)', 'value_a')}, {r(f'coalesce(b.{m}, 0)', 'value_b')}, {r(f'coalesce(a.{m}, 0)::DOUBLE - coalesce(b.{m}, 0)::DOUBLE', 'difference')} FROM co a JOIN co b ON a.entity_id = b.entity_id AND a.position < b.position" for m in CMETRICS), FREQ, LSTEP, LA, RG, CO),
+)
 COMP = "cc AS (SELECT entity_id, unnest(['frequency', 'temporal', 'regime']) AS component, unnest([count(*), count(*), count(*) FILTER (has_regime)]) AS n_present FROM co GROUP BY 1),\nck AS (SELECT *, 8 AS n_expected, greatest(8 - n_present, 0) AS n_missing, CASE WHEN n_present = 0 THEN 'MISSING_COMPONENT' WHEN n_present <> 8 THEN 'POSITION_COUNT_MISMATCH' ELSE 'NONE' END AS issue FROM cc)"
 register(
     "l11_completeness", lambda t: TP.completeness(consolidated(t), ("frequency", "temporal", "regime")),

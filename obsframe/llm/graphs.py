@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from obsframe.llm.tables import written
@@ -17,7 +17,7 @@ def large_star(edges: DataFrame) -> DataFrame:
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Links a node and its smaller neighbours to the least of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy(F.col("u").alias("of")).agg(F.min("v").alias("m"))
     rest = down.join(least, F.col("u") == F.col("of")).filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.unionByName(least.select(F.col("of").alias("u"), F.col("m").alias("v"))).distinct()
@@ -26,14 +26,16 @@ def small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, most: int = 50) -> DataFrame:
     """(node, component) of all nodes of ``edges`` (u, v) that are not their component's least node.
 
-    Each turn is written to the shared folder; only counts and a checksum come back to the driver.
+    A turn is one job: it is written to the shared folder, and its count and checksum are observed on
+    the way; only these come back to the driver.
     """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter(F.col("u") != F.col("v")).distinct()
     seen = None
     for _ in range(most):
-        edges = written(small_star(large_star(edges)))
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
+        observed = Observation()
+        state = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("checksum")
+        edges = written(small_star(large_star(edges)).observe(observed, *state))
+        if observed.get == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen = state
+        seen = observed.get
     raise RuntimeError(f"components did not settle in {most} turns")

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,8 @@ SIZE, PERCENT = 5, 80
 BITMAP = 8
 #: Fragments of the order for pairs: n-grams of 2-3, 4-7, 8-15, ... sets.
 FRAGMENTS = 8
+#: Bytes of text for each fragment of n-gram space; a fragment holds about three times as many.
+FRAGMENT_BYTES = 16 << 20
 #: N-grams of a set that lead it to pivots before the exact join.
 PROBES = 3
 
@@ -176,11 +178,15 @@ def may_link(a: str, b: str, percent: int) -> Column:
     return (missing(a, b) >= need) & (missing(b, a) >= need)
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (u, v), those that reach the threshold: partial overlaps in each fragment of the order, summed."""
+def order_cuts(sets: DataFrame) -> DataFrame:
+    """Every set's n-grams in each fragment of the order: key, n, fragment and segment."""
     fragment = F.least(F.floor(F.log2("count")) - 1, F.lit(FRAGMENTS - 1))
     grams = sets.select("key", "n", F.explode(F.arrays_zip(F.col("grams").alias("gram"), F.col("counts").alias("count"))).alias("g")).select("key", "n", F.col("g.gram").alias("gram"), F.col("g.count").alias("count"))
-    cuts = written(grams.groupBy("key", "n", fragment.alias("fragment")).agg(F.collect_list("gram").alias("segment")))
+    return grams.groupBy("key", "n", fragment.alias("fragment")).agg(F.collect_list("gram").alias("segment"))
+
+
+def linked(pairs: DataFrame, cuts: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (u, v), those that reach the threshold: partial overlaps in each fragment of the order, summed."""
     left = cuts.select(F.col("key").alias("u"), F.col("n").alias("u_n"), "fragment", F.col("segment").alias("u_segment"))
     right = cuts.select(F.col("key").alias("v"), F.col("n").alias("v_n"), "fragment", F.col("segment").alias("v_segment"))
     partial = pairs.join(left, "u").join(right, ["v", "fragment"]).select("u", "v", "u_n", "v_n", F.size(F.array_intersect("u_segment", "v_segment")).alias("part"))
@@ -206,6 +212,15 @@ def first_shared(a: str, b: str) -> Column:
     return ~(F.coalesce(one == two, F.lit(False)) | F.coalesce(one == F.col(f"{b}.before2"), F.lit(False)) | F.coalesce(F.col(f"{a}.before2") == two, F.lit(False)))
 
 
+def joined_further(found: DataFrame, more: DataFrame) -> DataFrame:
+    """Components that stay after further links (u, v); each old component counts as a star of its least node."""
+    observed = Observation()
+    more = written(more.observe(observed, F.count(F.lit(1)).alias("n")))
+    if not observed.get["n"]:
+        return found
+    return components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+
+
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the sets that links reach, by the least key.
 
@@ -223,23 +238,24 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     pivots = probes.groupBy("gram").agg(F.count(F.lit(1)).alias("many"), F.array_distinct(F.array(F.min(row), F.max(row), F.min_by(row, F.col("key")))).alias("p")).filter(F.col("many") > 1)
     stars = pivots.select("gram", F.explode("p").alias("p")).select("gram", "p.*")
     met = probes.alias("a").join(stars.alias("b"), F.col("a.gram") == F.col("b.gram")).filter((F.col("a.key") != F.col("b.key")) & may_link("a", "b", percent))
-    edges = written(linked(as_pairs(met), sets, percent))
+    cuts = written(order_cuts(sets))
+    found = components(written(linked(as_pairs(met), cuts, percent)))
 
     placed = sets.select("key", "n", "shared", *bits, "grams", F.posexplode(F.slice("grams", 1, F.col("prefix"))).alias("at", "gram"))
     postings = written(placed.select("gram", *fields, F.get("grams", F.col("at") - 1).alias("before"), F.get("grams", F.col("at") - 2).alias("before2")))
-    lists = written(mixed_lists(postings, components(edges)))
+    lists = written(mixed_lists(postings, found))
     row, draw = F.struct(*fields, "component", "before", "before2"), F.xxhash64("key", "gram")
     mains = lists.filter(F.col("component") == F.col("main")).groupBy("gram").agg(F.array_distinct(F.array(F.min_by(row, draw), F.max_by(row, draw))).alias("p"))
     mains = mains.select("gram", F.explode("p").alias("p")).select("gram", "p.*")
     other = lists.filter(F.col("component") != F.col("main"))
     met = other.alias("a").join(mains.alias("b"), F.col("a.gram") == F.col("b.gram")).filter(first_shared("a", "b") & may_link("a", "b", percent))
-    edges = written(edges.unionByName(linked(as_pairs(met), sets, percent)))
+    found = joined_further(found, linked(as_pairs(met), cuts, percent))
 
-    lists = written(mixed_lists(postings, components(edges)))
+    lists = written(mixed_lists(postings, found))
     other = lists.filter(F.col("component") != F.col("main"))
     crossing = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.key") < F.col("b.key")))
     met = other.alias("a").join(lists.alias("b"), F.col("a.gram") == F.col("b.gram")).filter(crossing & first_shared("a", "b") & may_link("a", "b", percent))
-    return components(edges.unionByName(linked(as_pairs(met), sets, percent)))
+    return joined_further(found, linked(as_pairs(met), cuts, percent))
 
 
 def join_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
@@ -252,10 +268,13 @@ def join_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id
     its component but does not name it; other columns are left out; an empty table gives no rows.
     N-grams and sets are compared by 64-bit hashes.
 
-    ``parts``: fragments of n-gram space, by default the session's shuffle partitions. Equal sets are
-    one set throughout, so copies cost a row each; components are found by joins, never gathered.
+    ``parts``: fragments of n-gram space, by default one for each FRAGMENT_BYTES of text, and the
+    session's shuffle partitions at least, so that a task's memory does not grow with the table. Equal
+    sets are one set throughout, so copies cost a row each; components are found by joins, never gathered.
     """
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        held = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // FRAGMENT_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), set_column(size)(F.col(text_col)).alias("s")).select("doc_id", "s.*")
     sets = written(candidates_only(count_fragments(segments(docs.select(F.col(text_col).alias("text")), size, parts), parts), percent, parts))
     rows = written(rows)

@@ -7,6 +7,7 @@ from obsframe.operators import evaluation as EV
 from obsframe.operators import feature_audit as FA
 from obsframe.operators import feedback as FB_
 from obsframe.operators import hidden_markov as HM
+from obsframe.operators import integrity as IG
 from obsframe.operators import modelling as MD
 from obsframe.operators import probabilities as P
 from obsframe.operators import relationships as R
@@ -513,3 +514,33 @@ register(
     lambda t: FA.feature_catalogue(MD.modelling_rows(t.obs)).where(F.col("kind").isin("current", "lag")).select("feature_name", "position", "kind", "window", "lag", "data_type"),
     f"SELECT feature_name, position, kind, CAST(w AS INTEGER) AS \"window\", CAST(l AS INTEGER) AS lag, data_type FROM (VALUES {NAMES}) v(feature_name, position, kind, w, l, data_type)",
 )
+
+# -- R3 -----------------------------------------------------------------------
+
+
+def stage_rows(t):
+    """A stage per observation, some left open, some with another head or first digit, and the observations that most of them led to."""
+    i = F.col("obs_id")
+    stages = t.obs.select(
+        i.alias("stage_id"), "entity_id", "obs_date", F.when(i % 7 == 0, "STAGE_1").when(i % 29 == 0, "LOST").otherwise("COMPLETED").alias("status"),
+        F.when(i % 11 == 0, F.reverse("head")).otherwise(F.col("head")).alias("head"), F.when(i % 13 == 0, "x").otherwise(F.substring("pair", 1, 1)).alias("pair_first"))
+    return stages, t.obs.where(i % 17 != 0)
+
+
+STAGES = """sg AS (SELECT obs_id, CASE WHEN obs_id % 7 = 0 THEN 'STAGE_1' WHEN obs_id % 29 = 0 THEN 'LOST' ELSE 'COMPLETED' END AS status, CASE WHEN obs_id % 11 = 0 THEN reverse(head) ELSE head END AS shown, head,
+  CASE WHEN obs_id % 13 = 0 THEN 'x' ELSE substr(pair, 1, 1) END AS f, substr(pair, 1, 1) AS first, obs_id % 17 <> 0 AS done FROM obs),
+si AS (SELECT 'BAD_STAGE_FIRST' AS code, 'INVALID' AS severity, obs_id FROM sg WHERE f = 'x' UNION ALL SELECT 'BAD_STAGE_STATUS', 'INVALID', obs_id FROM sg WHERE status = 'LOST'
+  UNION ALL SELECT 'COMPLETED_WITHOUT_OBSERVATION', 'INVALID', obs_id FROM sg WHERE status = 'COMPLETED' AND NOT done UNION ALL SELECT 'STAGE_HEAD_DIFFERS', 'INVALID', obs_id FROM sg WHERE done AND shown <> head
+  UNION ALL SELECT 'STAGE_FIRST_DIFFERS', 'INVALID', obs_id FROM sg WHERE done AND f <> first UNION ALL SELECT 'OPEN_WITH_OBSERVATION', 'WARNING', obs_id FROM sg WHERE status = 'STAGE_1' AND done)"""
+register(
+    "r03_stage_issues", lambda t: IG.stage_issues(*stage_rows(t)),
+    q("SELECT code, severity, 'stages' AS table_name, CAST(obs_id AS VARCHAR) AS record_id FROM si", STAGES),
+)
+register(
+    "r03_integrity_report", lambda t: IG.integrity_report(dict(zip(("stages", "observations"), stage_rows(t))), IG.stage_issues(*stage_rows(t))),
+    q("SELECT 'stages' AS table_name, (SELECT count(*) FROM sg) AS n_rows, count(*) FILTER (severity = 'INVALID') AS n_invalid, count(*) FILTER (severity = 'WARNING') AS n_warnings, 'INVALID' AS status FROM si UNION ALL SELECT 'observations', (SELECT count(*) FROM sg WHERE done), 0, 0, 'VALID'", STAGES),
+)
+register(
+    "r03_entity_summaries", lambda t: IG.entity_summaries(t.obs),
+    q(f"SELECT entity_id, count(*) AS n_rows, {day('min(obs_date)', 'first_date')}, {day('max(obs_date)', 'last_date')}, count(*) FILTER (g > 1) AS n_gaps, CAST(coalesce(sum(g - 1) FILTER (g > 1), 0) AS BIGINT) AS missing_days FROM (SELECT *, obs_date - lag(obs_date) OVER (PARTITION BY entity_id ORDER BY obs_date) AS g FROM obs) GROUP BY 1"),
+)

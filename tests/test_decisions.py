@@ -321,3 +321,40 @@ def test_feature_report_counts_each_violation(spark):
     other = spark.createDataFrame([("lag_1_p1", "int"), ("gone", "int"), ("p4", "int"), ("p4", "int")], "feature_name string, data_type string")
     issues = {(r.feature_name, r.issue) for r in catalogue_issues(df.drop("seq", "seen"), other).collect()}
     assert issues == {("lag_1_p1", "TYPE_MISMATCH"), ("gone", "MISSING_COLUMN"), ("rolling_3_sum", "UNDECLARED_COLUMN"), ("p4", "DUPLICATE_NAME")}
+
+
+def test_stage_and_feedback_issues(spark):
+    from obsframe.operators.integrity import entity_summaries, feedback_issues, integrity_report, stage_issues
+
+    day = lambda n: START + timedelta(days=n)
+    obs = spark.createDataFrame([(1, day(0), "123", "45"), (1, day(1), "123", "45"), (1, day(5), "000", "00")], "entity_id int, obs_date date, head string, pair string")
+    stages = spark.createDataFrame(
+        [(1, 1, day(0), "COMPLETED", "123", "4"), (2, 1, day(1), "STAGE_1", "321", "4"), (3, 1, day(2), "COMPLETED", "12", None), (4, 1, day(3), "STAGE_1", "111", "1"), (5, 1, day(5), None, None, "1")],
+        "stage_id int, entity_id int, obs_date date, status string, head string, pair_first string")
+    got = {(r.record_id, r.code) for r in stage_issues(stages, obs).collect()}
+    assert got == {
+        ("2", "STAGE_HEAD_DIFFERS"), ("2", "OPEN_WITH_OBSERVATION"), ("3", "BAD_STAGE_HEAD"), ("3", "BAD_STAGE_FIRST"), ("3", "COMPLETED_WITHOUT_OBSERVATION"),
+        ("5", "BAD_STAGE_STATUS"), ("5", "BAD_STAGE_HEAD"), ("5", "STAGE_HEAD_DIFFERS"), ("5", "STAGE_FIRST_DIFFERS"),
+    }
+    feedback = spark.createDataFrame([(1, "PAIR_FIRST", "4", "4", True), (2, "OTHER", "", None, True), (3, "STAGE_2", "5 123", " ", False), (4, None, None, None, None)], "feedback_id int, stage string, predicted_value string, actual_value string, is_correct boolean")
+    assert {(r.record_id, r.code) for r in feedback_issues(feedback).collect()} == {
+        ("2", "BAD_FEEDBACK_STAGE"), ("2", "EMPTY_PREDICTION"), ("2", "CORRECT_WITHOUT_ACTUAL"), ("3", "EMPTY_ACTUAL"), ("4", "BAD_FEEDBACK_STAGE"), ("4", "EMPTY_PREDICTION")}
+    assert [tuple(r) for r in entity_summaries(obs).collect()] == [(1, 3, day(0), day(5), 1, 3)]
+    report = {r.table_name: (r.n_rows, r.n_invalid, r.n_warnings, r.status) for r in integrity_report({"stages": stages, "observations": obs}, stage_issues(stages, obs)).collect()}
+    assert report == {"stages": (5, 8, 1, "INVALID"), "observations": (3, 0, 0, "VALID")}
+    assert stage_issues(stages.limit(0), obs).count() == 0
+
+
+def test_feature_bundle_writes_its_parts(spark, tmp_path):
+    from obsframe.operators.quality import feature_bundle, fingerprint
+
+    features = spark.createDataFrame([(1, START, 3, 0.5), (2, START, 4, None)], "entity_id int, obs_date date, p1_lag_1 int, rate double")
+    seen = spark.createDataFrame([(1, START + timedelta(days=1), START, 7), (2, START, START, 8)], "entity_id int, target_date date, obs_date date, obs_id long")
+    path = str(tmp_path / "bundle")
+    for _ in range(2):  # a second run replaces the first
+        feature_bundle(features, seen, path, ["entity_id", "obs_date", "p1_lag_1", "rate"])
+    assert {r.feature_name: (r.position, r.data_type) for r in spark.read.parquet(f"{path}/catalogue").collect()} == {"p1_lag_1": ("p1", "int"), "rate": (None, "double")}
+    assert spark.read.parquet(f"{path}/features").count() == 2
+    version = spark.read.parquet(f"{path}/version").first()
+    assert version.n_rows == 2 and len(version.identity) == 64 and fingerprint(features, ["rate"]).first().n_rows == 2
+    assert spark.read.parquet(f"{path}/leakage").count() >= 1

@@ -7,6 +7,7 @@ so blocks of rows add up their own share first and are then scored side by side.
 """
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -22,6 +23,7 @@ from obsframe.operators.evaluation import evaluate, row_scores
 from obsframe.operators.models import prior_rows, score
 from obsframe.operators.scans import history
 from obsframe.operators.sequences import blocks, numbered
+from obsframe.session import cut_lineage
 
 KEYS = ("entity_id", "obs_date")
 # Targets with the digits known before each, widths and limits of the chain.
@@ -98,14 +100,27 @@ def balanced(rows: DataFrame) -> DataFrame:
     return rows.withColumn("weight", weight)
 
 
-def fit_chain(train: DataFrame, stages=STAGES, **options) -> dict:
-    """One forest per target, each with its own seed, on the features of the target's stage."""
-    models = {}
-    for i, target in enumerate(stages):
-        rows = balanced(stage_rows(train, target, stages))
-        forest = RandomForestClassifier(seed=FIRST_SEED + i, weightCol="weight", **{**FOREST, **options})
-        models[target] = Pipeline(stages=[VectorAssembler(inputCols=[f"x{k}" for k in range(WIDTH)], outputCol="features"), forest]).fit(rows)
-    return models
+#: Rows of a partition of the training table: each partition sends the statistics of all nodes of a round.
+ROWS_PER_PART = 100_000
+
+
+def fit_chain(train: DataFrame, stages=STAGES, parallelism: int = 5, **options) -> dict:
+    """One forest per target, each with its own seed, on the features of the target's stage.
+
+    The fits are Spark jobs that the driver starts side by side, ``parallelism`` at a time. The
+    training rows are cut to parts of about ``ROWS_PER_PART``: what a round of a forest shuffles is
+    the statistics of its open nodes, once for each part, and not the rows.
+    """
+    train = cut_lineage(train)
+    parts = max(1, -(-train.count() // ROWS_PER_PART))
+
+    def fit(place: int, target: str):
+        rows = balanced(stage_rows(train.coalesce(parts), target, stages))
+        forest = RandomForestClassifier(seed=FIRST_SEED + place, weightCol="weight", **{**FOREST, **options})
+        return Pipeline(stages=[VectorAssembler(inputCols=[f"x{k}" for k in range(WIDTH)], outputCol="features"), forest]).fit(rows)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        return dict(zip(stages, pool.map(fit, range(len(stages)), stages)))
 
 
 def score_chain(models: dict, rows: DataFrame, stages=STAGES) -> DataFrame:

@@ -281,6 +281,12 @@ register(
     "n07_ranking_explanation", lambda t: K.explain(markov(t), ["entity_id", "position", "obs_date"], top_k=2),
     q(f"SELECT entity_id, position, {day('obs_date')}, CAST(rank AS INTEGER) AS rank, CAST(symbol AS INTEGER) AS symbol, {r('prob', 'prob')}, {r('prob / (s[1] + s[2])', 'share')}, {r('(11 - rank) / 10.0', 'percentile')}, {r('CASE WHEN rank = 1 THEN 0 ELSE s[1] - s[2] END', 'gap_above')}, {r('CASE WHEN rank = 1 THEN s[1] - s[2] ELSE prob END', 'gap_below')}, {r('CASE WHEN rank = 1 THEN s[1] ELSE s[1] + s[2] END', 'cum_prob')}, {r('entropy', 'entropy')}, {r('entropy / ln(10)', 'norm_entropy')}, {r('exp(entropy)', 'effective_count')} FROM sy WHERE rank <= 2", MK, SYM),
 )
+XP = """xp AS (SELECT *, prob / sum(prob) OVER w AS share, sum(prob) OVER (PARTITION BY entity_id, position, obs_date ORDER BY rank) AS cum, lag(prob) OVER (PARTITION BY entity_id, position, obs_date ORDER BY rank) AS above,
+  lead(prob) OVER (PARTITION BY entity_id, position, obs_date ORDER BY rank) AS below FROM sy WINDOW w AS (PARTITION BY entity_id, position, obs_date))"""
+register(
+    "n07_symbol_explanation", lambda t: K.explain(markov(t), ["entity_id", "position", "obs_date"], top_k=10),
+    q(f"SELECT entity_id, position, {day('obs_date')}, CAST(rank AS INTEGER) AS rank, CAST(symbol AS INTEGER) AS symbol, {r('prob', 'prob')}, {r('share', 'share')}, {r('(11 - rank) / 10.0', 'percentile')}, {r('coalesce(above - prob, 0)', 'gap_above')}, {r('coalesce(prob - below, prob)', 'gap_below')}, {r('cum', 'cum_prob')}, {r('entropy', 'entropy')}, {r('entropy / ln(10)', 'norm_entropy')}, {r('exp(entropy)', 'effective_count')} FROM xp", MK, SYM, XP),
+)
 CON = f"""ct AS (SELECT b.*, w.weight FROM bm b JOIN (SELECT model, 0.5::DOUBLE AS weight FROM em) w USING (model)),
 tt AS (SELECT entity_id, position, obs_date, {per_digit('(sum(weight * probs[{d} + 1] ORDER BY model DESC))')} AS t FROM ct GROUP BY 1, 2, 3)"""
 register(

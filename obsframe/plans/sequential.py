@@ -1,5 +1,8 @@
 """Staged prediction, row-by-row learning, backtests, decoding, selection, comparison and feedback (F25, N4, N5, O20, P5, P12, P17, P20, Q1, Q3, Q7, R9, S1-S4)."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from obsframe import layout as L
@@ -9,6 +12,7 @@ from obsframe.operators import feedback as FB_
 from obsframe.operators import hidden_markov as HM
 from obsframe.operators import integrity as IG
 from obsframe.operators import modelling as MD
+from obsframe.operators import models as ML
 from obsframe.operators import probabilities as P
 from obsframe.operators import relationships as R
 from obsframe.operators import retraining as RT
@@ -544,3 +548,21 @@ register(
     "r03_entity_summaries", lambda t: IG.entity_summaries(t.obs),
     q(f"SELECT entity_id, count(*) AS n_rows, {day('min(obs_date)', 'first_date')}, {day('max(obs_date)', 'last_date')}, count(*) FILTER (g > 1) AS n_gaps, CAST(coalesce(sum(g - 1) FILTER (g > 1), 0) AS BIGINT) AS missing_days FROM (SELECT *, obs_date - lag(obs_date) OVER (PARTITION BY entity_id ORDER BY obs_date) AS g FROM obs) GROUP BY 1"),
 )
+
+# -- full fits ----------------------------------------------------------------
+
+
+def position_metrics(t, kind: str, positions=L.POSITIONS):
+    """One model per position with the default parameters, its metrics after the split and the log loss against the class shares."""
+    obs, parts = cut_lineage(t.obs), []
+    for p in positions:
+        train, test = (cut_lineage(x) for x in ML.split(ML.lagged_rows(obs, p), "1999-12-31"))
+        scored = ML.score(ML.fit(train, kind), test, kind).unionByName(ML.prior_rows(train, test))
+        parts.append(scored.withColumn("position", F.lit(p)))
+    metrics = evaluate(reduce(DataFrame.unionByName, parts), ["position", "model"])
+    prior = metrics.where("model = 'prior'").select("position", F.col("log_loss").alias("prior_log_loss"))
+    return metrics.where(F.col("model") != "prior").join(prior, "position").withColumn("log_loss_gain", F.col("prior_log_loss") - F.col("log_loss"))
+
+
+register("p20_tree_per_position", lambda t: position_metrics(t, "tree"))
+register("p06_logistic_full_fit", lambda t: position_metrics(t, "logistic", ("p4",)))

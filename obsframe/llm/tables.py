@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -47,6 +49,19 @@ def fresh(taken: Iterable[str], name: str) -> str:
     return name
 
 
+#: Modules whose ``encoder`` or ``merger`` a worker process keeps from task to task.
+KEEPERS = {"obsframe.llm.encode": "encoder", "obsframe.llm.bpe": "merger", "obsframe.llm.sentence_pieces": "encoder"}
+
+
+def forget_kept() -> None:
+    """Drop what earlier tasks of other operators have left in this worker process, which Spark uses again."""
+    for module, name in KEEPERS.items():
+        if module in sys.modules and getattr(sys.modules[module], name).cache_info().currsize:
+            getattr(sys.modules[module], name).cache_clear()
+            gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all values and their offsets; a null is an empty text."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

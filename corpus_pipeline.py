@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from obsframe.llm.line_dedup import dedup_lines
 from obsframe.llm.ngram_join import join_documents, set_column
 from obsframe.llm.packing import pack_documents
 from obsframe.llm.passages import quality_scorer
-from obsframe.llm.tables import fresh, shared_folder, written
+from obsframe.llm.tables import forget_kept, fresh, shared_folder, written
 from obsframe.llm.token_files import ids_crc32
 from obsframe.llm.toxicity import toxicity_scorer
 
@@ -56,10 +58,17 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return stays.unionByName(bare)
 
 
+@F.arrow_udf(T.LongType())
+def crc32_at_last(ids: pa.Array) -> pa.Array:
+    """``ids_crc32`` in the last step of the last stage, when no worker needs what it has kept of encoding any more."""
+    forget_kept()
+    return ids_crc32.func(ids)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens."""
     pieces = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
-    return pieces.select("doc_id", "start", "length", ids_crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", crc32_at_last("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

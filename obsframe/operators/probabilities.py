@@ -47,6 +47,43 @@ def markov_rows(long: DataFrame, order: int = 1, smoothing: float = 1.0, keys=SE
     return step.select(F.lit(name or f"markov{order}").alias("model"), *keys, "obs_date", "target", probs.alias("probs"))
 
 
+def model_rows(long: DataFrame, models, keys=SERIES) -> DataFrame:
+    """Predictions of several such models for the rows that all of them predict: one row per observation.
+
+    ``models``: (name, order, smoothing) each; the result holds ``models``, a struct with the
+    probabilities under each name. Models of one order share their counts, and one partitioning by series serves all orders, so
+    that probabilities are never shuffled. ``apart`` gives the rows of each model.
+    """
+    step = long.select(*keys, "obs_date", F.col("value").alias("target"))
+    orders = sorted({order for _, order, _ in models})
+    lags = [F.lag("target", k).over(history(*keys)).cast("string") for k in range(max(orders), 0, -1)]
+    step = step.withColumns({f"_x{k}": F.when(lags[-k].isNotNull(), F.concat_ws("", *lags[-k:])) for k in orders if k})
+    for k in orders:
+        w = prior(history(*keys, *([f"_x{k}"] if k else [])))
+        step = step.withColumns({f"_n{k}": F.count("*").over(w), **{f"_c{k}_{d}": F.count_if(F.col("target") == d).over(w) for d in range(DIGITS)}})
+        if k:
+            step = step.where(F.col(f"_x{k}").isNotNull())
+
+    def probs(k: int, smoothing: float) -> Column:
+        total = F.col(f"_n{k}") + smoothing * DIGITS
+        return F.array(*[(F.col(f"_c{k}_{d}") + smoothing) / total for d in range(DIGITS)])
+
+    entries = [probs(k, smoothing).alias(name) for name, k, smoothing in models]
+    return step.select(*keys, "obs_date", "target", F.struct(*entries).alias("models"))
+
+
+def model_names(rows: DataFrame) -> list[str]:
+    """Models that ``rows`` hold beside each other, in order of name; none where each has rows of its own."""
+    return sorted(rows.schema["models"].dataType.names) if "models" in rows.columns else []
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """A row per model of each observation."""
+    others = [c for c in rows.columns if c != "models"]
+    entries = [F.struct(F.lit(m).alias("model"), F.col("models")[m].alias("probs")) for m in model_names(rows)]
+    return rows.select(*others, F.inline(F.array(*entries))).select("model", *others, "probs")
+
+
 def markov_table(long: DataFrame, order: int = 1, smoothing: float = 1.0, keys=SERIES,
                  by=("position",)) -> DataFrame:
     """Smoothed transition row of every context over the whole history."""
@@ -163,44 +200,58 @@ def ensemble_weights(evaluations: DataFrame, method: str = "equal", keys=()) ->
 def blend(rows: DataFrame, weights: DataFrame, name: str, keys=SERIES) -> DataFrame:
     """Weighted mean of the models' probability rows.
 
-    The weights are one row per model (and key); the rows of one observation
-    meet in one aggregate.
+    The weights are one row per model (and key). Rows of ``model_rows`` are added up as they are; those
+    of one observation each meet in one aggregate otherwise.
     """
     on = [c for c in weights.columns if c != "weight"]
-    weighted = rows.join(F.broadcast(weights), on)
-    sums = weighted.groupBy(*keys, "obs_date").agg(
-        F.first("target").alias("target"),
-        F.array(*[F.sum(F.col("weight") * F.col("probs")[d]) for d in range(DIGITS)]).alias("probs"),
-    )
-    return sums.withColumn("probs", S.normalised(F.col("probs"))).withColumn("model", F.lit(name))
+    names = model_names(rows)
+    if names and "model" in on:
+        others = [c for c in on if c != "model"]
+        own = [F.sum(F.when(F.col("model") == m, F.col("weight"))).alias(f"_w{i}") for i, m in enumerate(names)]
+        wide = weights.where(F.col("model").isin(names) & F.col("weight").isNotNull()).groupBy(*others).agg(*own)
+        known = F.coalesce(*[F.col(f"_w{i}") for i in range(len(names))]).isNotNull()
+        met = rows.join(F.broadcast(wide.where(known)), others or None)
+        part = lambda i, m, d: F.coalesce(F.col(f"_w{i}"), F.lit(0.0)) * F.col("models")[m][d]
+        raw = [sum((part(i, m, d) for i, m in enumerate(names[1:], 1)), part(0, names[0], d)).alias(f"_p{d}") for d in range(DIGITS)]
+        sums = met.select(*keys, "obs_date", "target", *raw)
+    else:
+        weighted = (apart(rows) if names else rows).join(F.broadcast(weights), on)
+        sums = weighted.groupBy(*keys, "obs_date").agg(
+            F.first("target").alias("target"), *[F.sum(F.col("weight") * F.col("probs")[d]).alias(f"_p{d}") for d in range(DIGITS)])
+    total = sum((F.col(f"_p{d}") for d in range(1, DIGITS)), F.col("_p0"))
+    shares = sums.withColumn("_t", total).withColumn("probs", F.array(*[F.col(f"_p{d}") / F.col("_t") for d in range(DIGITS)]))
+    return shares.select(*keys, "obs_date", "target", "probs", F.lit(name).alias("model"))
 
 
 def model_pairs(rows: DataFrame, keys=SERIES) -> DataFrame:
-    """Probability rows of every model pair on one observation."""
-    on = [*keys, "obs_date"]
-    a = rows.select(*on, F.col("model").alias("model_a"), F.col("probs").alias("probs_a"))
-    b = rows.select(*on, F.col("model").alias("model_b"), F.col("probs").alias("probs_b"))
-    return a.join(b, on).where("model_a < model_b")
+    """Probability rows of every model pair on one observation; those of ``model_rows`` are paired inside the row."""
+    on, names = [*keys, "obs_date"], model_names(rows)
+    if names:
+        pairs = [F.struct(F.lit(a).alias("model_a"), F.col("models")[a].alias("probs_a"), F.lit(b).alias("model_b"), F.col("models")[b].alias("probs_b"))
+                 for i, a in enumerate(names) for b in names[i + 1:]]
+        return rows.select(*on, F.inline(F.array(*pairs)))
+    entries = F.array_sort(F.collect_list(F.struct("model", "probs")))
+    met = rows.groupBy(*on).agg(entries.alias("_m"))
+    pair = lambda a, b: F.struct(a["model"].alias("model_a"), a["probs"].alias("probs_a"), b["model"].alias("model_b"), b["probs"].alias("probs_b"))
+    pairs = F.flatten(F.transform("_m", lambda a: F.transform("_m", lambda b: F.when(a["model"] < b["model"], pair(a, b)))))
+    return met.select(*on, F.inline(F.filter(pairs, lambda x: x.isNotNull())))
 
 
 def divergence(p: Column, q: Column) -> dict[str, Column]:
-    """Jensen–Shannon divergence (natural log) and total variation."""
-
-    def kl(x, m):
-        return S.array_total(F.zip_with(x, m, lambda a, b: F.when(a > 0, a * F.ln(a / b)).otherwise(F.lit(0.0))))
-
-    mid = F.zip_with(p, q, lambda a, b: (a + b) / 2)
-    return {
-        "js": (kl(p, mid) + kl(q, mid)) / 2,
-        "tv": S.array_total(F.zip_with(p, q, lambda a, b: F.abs(a - b))) / 2,
-    }
+    """One symbol's terms of the Jensen–Shannon divergence (natural log) and of the total variation; both are sums over the symbols."""
+    mid = (p + q) / 2
+    kl = lambda x: F.when(x > 0, x * F.ln(x / mid)).otherwise(F.lit(0.0))
+    return {"js": (kl(p) + kl(q)) / 2, "tv": F.abs(p - q) / 2}
 
 
 def model_agreement(rows: DataFrame, keys=SERIES, by=()) -> DataFrame:
-    """Mean divergence of every model pair."""
-    d = divergence(F.col("probs_a"), F.col("probs_b"))
-    return model_pairs(rows, keys).withColumns(d).groupBy(*by, "model_a", "model_b").agg(
-        F.count("*").alias("n_obs"), F.avg("js").alias("mean_js"), F.avg("tv").alias("mean_tv")
+    """Mean divergence of every model pair, summed over the symbols of its rows."""
+    symbols = F.array(*[F.lit(d) for d in range(DIGITS)]).alias("symbol")
+    cells = model_pairs(rows, keys).select(
+        *by, "model_a", "model_b", F.inline(F.arrays_zip(F.col("probs_a").alias("p"), F.col("probs_b").alias("q"), symbols)))
+    terms, n = cells.withColumns(divergence(F.col("p"), F.col("q"))), F.count_if(F.col("symbol") == 0)
+    return terms.groupBy(*by, "model_a", "model_b").agg(
+        n.alias("n_obs"), (F.sum("js") / n).alias("mean_js"), (F.sum("tv") / n).alias("mean_tv")
     )
 
 

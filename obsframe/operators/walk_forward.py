@@ -63,9 +63,11 @@ def scored_rows(rows: DataFrame, top_k: int = 3) -> DataFrame:
     if not 1 <= top_k <= L.DIGITS:
         raise ValueError("top_k must lie in 1..10")
     p = F.get("probs", F.col("target"))
-    better = F.size(F.filter(F.transform("probs", lambda x, d: (x > p) | ((x == p) & (d < F.col("target")))), lambda b: b))
+    each = [F.col("probs")[d] for d in range(L.DIGITS)]
+    better = sum((F.when((x > p) | ((x == p) & (F.lit(d) < F.col("target"))), 1).otherwise(0) for d, x in enumerate(each)), F.lit(0))
     best = F.reverse(F.array_sort("probs"))
-    brier = F.aggregate(F.transform("probs", lambda x, d: (x - (d == F.col("target")).cast("double")) ** 2), F.lit(0.0), lambda a, b: a + b)
+    gaps = [x - F.when(F.col("target") == d, 1.0).otherwise(0.0) for d, x in enumerate(each)]
+    brier = sum((g * g for g in gaps), F.lit(0.0))
     return rows.withColumns({
         "log_loss": -F.ln(F.greatest(p, F.lit(CLIP))), "hit": (better == 0).cast("double"), "top_hit": (better < top_k).cast("double"),
         "brier": brier, "margin": F.get(best, F.lit(0)) - F.get(best, F.lit(1)),

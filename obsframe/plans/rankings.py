@@ -29,15 +29,18 @@ def markov(t):
     return P.markov_rows(t.long)
 
 
-def base_rate(t):
-    return P.markov_rows(t.long, order=0, name="frequency")
+BOTH = (("markov1", 1, 1.0), ("frequency", 0, 1.0))
+THREE = (*BOTH, ("smooth", 1, 25.0))
+
+
+def both_beside(t):
+    """The two models on the rows both can predict, beside each other."""
+    return P.model_rows(t.long, BOTH)
 
 
 def both_models(t):
-    """The two models on the rows both can predict."""
-    m = markov(t)
-    rows = base_rate(t).join(m.select("entity_id", "position", "obs_date"), ["entity_id", "position", "obs_date"], "left_semi")
-    return m.unionByName(rows)
+    """A row per model on the rows both can predict."""
+    return P.apart(both_beside(t))
 
 
 def predictions(t, positions=L.POSITIONS):
@@ -205,13 +208,17 @@ register(
 BL = f"""bl AS (SELECT entity_id, position, obs_date, any_value(target) AS target, {per_digit('(sum(weight * probs[{d} + 1]))')} AS raw FROM bm JOIN (SELECT model, (1.0 / log_loss) / sum(1.0 / log_loss) OVER () AS weight FROM em) USING (model) GROUP BY 1, 2, 3),
 bn AS (SELECT *, list_transform(raw, lambda p: p / list_sum(raw)) AS probs FROM bl)"""
 register(
-    "p14_blended_scores", lambda t: E.evaluate(P.blend(both_models(t), weights(t, "inverse_log_loss"), "blend"), ["position"]).select("position", "n_obs", "log_loss", "brier", "mean_entropy"),
+    "p14_blended_scores", lambda t: E.evaluate(P.blend(both_beside(t), weights(t, "inverse_log_loss"), "blend"), ["position"]).select("position", "n_obs", "log_loss", "brier", "mean_entropy"),
     q(f"SELECT position, count(*) AS n_obs, {r('avg(-ln(greatest(probs[target + 1], 1e-15)))', 'log_loss')}, {r('avg(list_sum(list_transform(range(0, 10), lambda d: (probs[d + 1] - CASE WHEN d = target THEN 1 ELSE 0 END) ^ 2)))', 'brier')}, {r('avg(list_sum(list_transform(probs, lambda p: -p * ln(greatest(p, 1e-15)))))', 'mean_entropy')} FROM bn GROUP BY 1", MK, F0, SC, EVM, BL),
 )
 
 
+def three_beside(t):
+    return P.model_rows(t.long, THREE)
+
+
 def three_models(t):
-    return both_models(t).unionByName(P.markov_rows(t.long, order=1, smoothing=25.0, name="smooth"))
+    return P.apart(three_beside(t))
 
 
 M3 = f"""m3 AS (SELECT * FROM bm UNION ALL SELECT 'smooth', entity_id, position, obs_date, value,
@@ -221,11 +228,11 @@ ag AS (SELECT a.model AS model_a, b.model AS model_b, count(*) AS n_obs,
   avg(list_sum(list_transform(range(1, 11), lambda i: abs(a.probs[i] - b.probs[i]))) / 2) AS mean_tv
   FROM m3 a JOIN m3 b ON a.entity_id = b.entity_id AND a.position = b.position AND a.obs_date = b.obs_date AND a.model < b.model GROUP BY 1, 2)"""
 register(
-    "p15_model_agreement", lambda t: P.model_agreement(three_models(t)),
+    "p15_model_agreement", lambda t: P.model_agreement(three_beside(t)),
     q(f"SELECT model_a, model_b, n_obs, {r('mean_js', 'mean_js')}, {r('mean_tv', 'mean_tv')} FROM ag", MK, F0, M3),
 )
 register(
-    "p15_consensus_weights", lambda t: P.consensus_weights(P.model_agreement(three_models(t))),
+    "p15_consensus_weights", lambda t: P.consensus_weights(P.model_agreement(three_beside(t))),
     q(f"SELECT model, {r('(1 / (d + 1e-12)) / sum(1 / (d + 1e-12)) OVER ()', 'weight')} FROM (SELECT model, avg(mean_js) AS d FROM (SELECT model_a AS model, mean_js FROM ag UNION ALL SELECT model_b, mean_js FROM ag) GROUP BY 1)", MK, F0, M3),
 )
 register(

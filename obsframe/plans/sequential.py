@@ -30,7 +30,7 @@ from obsframe.plans.controls import FOLDS, folds
 from obsframe.plans.features import E as ENT
 from obsframe.plans.features import ID, S, back
 from obsframe.plans.observations import PRIOR
-from obsframe.plans.rankings import F0, KS, MK, MRR, OUT, PR, PW, TAILS, TR, WM, both_models, hit, outcome_rows, predictions
+from obsframe.plans.rankings import F0, KS, MK, MRR, OUT, PR, PW, TAILS, TR, WM, both_beside, hit, outcome_rows, predictions
 from obsframe.session import cut_lineage
 from obsframe.streaming import sequential as Q
 from obsframe.streaming.flows import run_to_table, work_folder
@@ -229,7 +229,7 @@ register(
 
 def consensuses(t):
     """Two consensuses of the two models: equal weights, and three quarters for the Markov rows."""
-    rows = both_models(t)
+    rows = both_beside(t)
     models = [("equal", "markov1", 0.5), ("equal", "frequency", 0.5), ("leaning", "markov1", 0.75), ("leaning", "frequency", 0.25)]
     weights = t.spark.createDataFrame(models, "consensus string, model string, weight double")
     mixed = [P.blend(rows, weights.where(F.col("consensus") == c).drop("consensus"), c) for c in ("equal", "leaning")]

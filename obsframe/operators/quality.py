@@ -256,10 +256,10 @@ def feedback(scored: DataFrame, keys=("entity_id",), top_k: int = 3, recent: int
              min_accuracy: float = 0.5) -> DataFrame:
     """Per-prediction outcome with recent accuracy, miss streak and retrain flag.
 
-    Correct is the first rank. Low accuracy and a long streak each ask for retraining. Without
-    diagnostic flags the source of a miss is unknown and asks for nothing, however near the actual
-    came; ``operators.feedback`` takes flags. The streak counts misses since the last hit: row
-    number less the row number of the last hit so far.
+    Correct is the first rank. Low accuracy, a long streak or a miss whose error is diagnosed (the
+    actual is among the ``top_k``) each ask for retraining by itself; ``operators.feedback`` takes
+    diagnostic flags instead. The streak counts misses since the last hit: row number less the row
+    number of the last hit so far.
     """
     w = history(*keys, date="target_date")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -271,8 +271,8 @@ def feedback(scored: DataFrame, keys=("entity_id",), top_k: int = 3, recent: int
         {
             "miss_streak": F.col("rn") - last_hit,
             "recent_accuracy": F.avg(F.col("correct").cast("double")).over(w.rowsBetween(-(recent - 1), 0)),
-            "error_source": F.lit("unknown"),
+            "error_source": F.when(F.col("correct"), "none").when(F.col("top_k_hit"), "ranking").otherwise("unknown"),
         }
     ).drop("rn")
-    asked = (F.col("recent_accuracy") < min_accuracy) | (F.col("miss_streak") >= streak)
+    asked = (F.col("recent_accuracy") < min_accuracy) | (F.col("miss_streak") >= streak) | (F.col("error_source") == "ranking")
     return step.withColumn("decision", F.when(asked, "RETRAIN").otherwise("HOLD"))

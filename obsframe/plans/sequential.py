@@ -134,9 +134,11 @@ register(
 def by_year(rows, folder: str):
     """A stream of one file per calendar year, in order."""
     spark = rows.sparkSession
-    years = rows.agg(F.min(F.year("obs_date")), F.max(F.year("obs_date"))).first()
+    rows.withColumn("year", F.year("obs_date")).write.partitionBy("year").parquet(f"{folder}/years")
+    kept = spark.read.schema(f"{Q.schema_ddl(rows.schema)}, year int").parquet(f"{folder}/years")
+    years = kept.agg(F.min("year"), F.max("year")).first()
     for year in range(years[0], years[1] + 1) if years[0] is not None else ():
-        rows.where(F.year("obs_date") == year).coalesce(1).write.parquet(f"{folder}/in/year={year}")
+        kept.where(F.col("year") == year).drop("year").coalesce(1).write.parquet(f"{folder}/in/year={year}")
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
 
 

@@ -85,39 +85,58 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
 
 
 class Completion(StatefulProcessor):
-    """Pending first stage of a key, and a timer that forgets the key."""
+    """Stages of an entity's dates that are not forgotten yet, and a timer for the first date to be forgotten."""
 
     def __init__(self, delay_ms: int) -> None:
         self.delay_ms = delay_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getValueState("pending", "head string, pair_first string, done boolean, last long")
+        self.pending = handle.getValueState("pending", "dates array<int>, heads array<string>, firsts array<string>, done array<boolean>, last array<long>")
+
+    def held(self, watermark_ms: int) -> dict:
+        """(head, pair_first, done, last) of each date; a date whose time is up is gone, even if its timer comes after the rows of this batch."""
+        state = self.pending.get() if self.pending.exists() else ((),) * 5
+        return {day: rest for day, *rest in zip(*state) if rest[3] + self.delay_ms > watermark_ms}
+
+    def keep(self, dates: dict, watermark_ms: int, timed: bool) -> None:
+        """Write the dates and set the timer; ``timed``: the state may have a timer already."""
+        if timed:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+        if not dates:
+            self.pending.clear()
+            return
+        self.pending.update((list(dates), *map(list, zip(*dates.values()))))
+        first = min(last for *_, last in dates.values())
+        self.handle.registerTimer(max(first + self.delay_ms, watermark_ms + 1))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        watermark, timed = timerValues.getCurrentWatermarkInMs(), self.pending.exists()
+        dates, out = self.held(watermark), []
         events = pd.concat(list(rows), ignore_index=True).sort_values(["event_time", "stage"], kind="stable")
-        head, first, done, last = self.pending.get() if self.pending.exists() else (None, None, False, 0)
-        if last + self.delay_ms <= timerValues.getCurrentWatermarkInMs():  # its timer is due but comes after the rows of this batch
-            head, first, done = None, None, False
-        last = max(last, int(events["event_time"].max().timestamp() * 1000))
-        if not done:
-            # the first stage that stands when each event comes; what was pending before the batch stands at its beginning
-            opening = events["stage"].eq(1)
-            standing = np.maximum.accumulate(np.where(opening, np.arange(len(events)), -1))
-            closing = np.flatnonzero(~opening.to_numpy() & ((standing >= 0) | (head is not None)))
-            at = int(standing[closing[0] if len(closing) else -1])
-            if at >= 0:
-                head, first = events["head"].iloc[at], events["pair_first"].iloc[at]
-            if len(closing):
-                done, end = True, events.iloc[closing[0]]
-                yield pd.DataFrame({"entity_id": [key[0]], "obs_date": [key[1]], "head": [head], "pair": [first + end["pair_second"]], "tail": [end["tail"]]})
-        self.pending.update((head, first, bool(done), last))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(max(last + self.delay_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        times = events["event_time"].astype("datetime64[ms]").astype("int64")
+        opened = {day for day, (head, *_) in dates.items() if head is not None}
+        columns = (events[c] for c in ("obs_date", "stage", "head", "pair_first", "pair_second", "tail"))
+        for date, stage, head, pair_first, pair_second, tail, time in zip(*columns, times):
+            day = None if pd.isna(date) else date.toordinal()
+            row = dates.setdefault(day, [None, None, False, 0])
+            row[3] = max(row[3], time)
+            if row[2]:
+                continue
+            if stage == 1:  # a first stage that is sent again replaces the one that stands
+                row[0], row[1] = head, pair_first
+                opened.add(day)
+            elif day in opened:
+                row[2] = True
+                out.append((key[0], date, row[0], row[1] + pair_second, tail))
+        if out:
+            yield pd.DataFrame(out, columns=["entity_id", "obs_date", "head", "pair", "tail"])
+        self.keep(dates, watermark, timed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.pending.clear()
+        watermark = timerValues.getCurrentWatermarkInMs()
+        self.keep(self.held(watermark), watermark, False)
         return iter(())
 
     def close(self) -> None:
@@ -129,11 +148,13 @@ def completed_stages(events: DataFrame, watermark: str = "30 days") -> DataFrame
 
     ``events``: entity_id, obs_date, stage, head, pair_first, pair_second, tail, event_time, as a
     stream. A stage 1 that is sent again replaces the pending one; a stage 2 without a stage 1 before
-    it is dropped; a completed key is final. A timer forgets a key once the watermark passes its
-    last event by the watermark's delay. Start the query inside ``keyed_state``.
+    it is dropped; a completed key is final. A key is forgotten once the watermark passes its last
+    event by the watermark's delay. The dates of an entity share one state, which holds those not
+    forgotten yet, so that a batch turns to it once per entity and not per date. Start the query
+    inside ``keyed_state``.
     """
     delay = int(pd.Timedelta(watermark).total_seconds() * 1000)
-    return events.withWatermark("event_time", watermark).groupBy("entity_id", "obs_date").transformWithStateInPandas(
+    return events.withWatermark("event_time", watermark).groupBy("entity_id").transformWithStateInPandas(
         Completion(delay), COMPLETED, "append", "EventTime"
     )
 

@@ -90,12 +90,13 @@ def fit_temperature(df: DataFrame, keys) -> DataFrame:
 
 
 def rescale(df: DataFrame, temperature: Column) -> DataFrame:
-    """Probability rows at a temperature."""
-    logits = F.transform("probs", lambda p: F.ln(F.greatest(p, F.lit(CLIP))) / temperature)
-    step = df.withColumn("_l", logits)
-    return step.withColumn(
-        "probs", S.normalised(F.transform("_l", lambda x: F.exp(x - F.array_max("_l"))))
-    ).drop("_l")
+    """Probability rows at a temperature; the largest logit and the total are found once per row, not per symbol."""
+    names = df.columns
+    step = df.withColumns({f"_l{d}": F.ln(F.greatest(F.col("probs")[d], F.lit(CLIP))) / temperature for d in range(10)})
+    step = step.withColumn("_m", F.greatest(*[f"_l{d}" for d in range(10)]))
+    step = step.withColumns({f"_e{d}": F.exp(F.col(f"_l{d}") - F.col("_m")) for d in range(10)})
+    step = step.withColumn("_t", sum((F.col(f"_e{d}") for d in range(1, 10)), F.col("_e0")))
+    return step.withColumn("probs", F.array(*[F.col(f"_e{d}") / F.col("_t") for d in range(10)])).select(*names)
 
 
 # -- rankings -----------------------------------------------------------------

@@ -4,6 +4,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
@@ -94,3 +96,41 @@ def top_products(codes: list[str], top_k: int):
         )
 
     return run
+
+
+#: Rows whose products are held at a time.
+ROWS = 2_000
+
+
+def place_of_product(codes: list[str], shown: int):
+    """UDF over a code and one probability array per digit: what the order of all codes by their product says of the row.
+
+    A struct: ``rank`` of the code given (null if it is none of ``codes``; the earlier code first on ties), the ``top``
+    product, the sum of the ``shown`` largest and the ``mass`` of all. The order itself does not leave the function.
+    """
+    digits = np.array([[int(x) for x in c] for c in codes])
+    known, place = pa.array(codes), np.arange(len(codes))
+
+    def run(code: pa.Array, *probs: pa.Array) -> pa.Array:
+        m = len(code)
+        own = pc.fill_null(pc.index_in(code, known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        rank, sums = np.zeros(m, np.int32), np.zeros((3, m))
+        none = np.zeros(m, bool)
+        for p in probs:
+            none |= p.is_null().to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(~none)
+        flat = [p.filter(pa.array(~none)).flatten().to_numpy(zero_copy_only=False).reshape(-1, 10) for p in probs]
+        for a in range(0, len(rows), ROWS):
+            product = None
+            for i, p in enumerate(flat):
+                part = p[a : a + ROWS][:, digits[:, i]]
+                product = part if product is None else product * part
+            at = rows[a : a + ROWS]
+            mine = np.maximum(own[at], 0)
+            value = np.take_along_axis(product, mine[:, None], axis=1)
+            rank[at] = 1 + (product > value).sum(axis=1) + ((product == value) & (place < mine[:, None])).sum(axis=1)
+            sums[:, at] = np.cumsum(-np.sort(-product, axis=1), axis=1)[:, [0, min(shown, len(codes)) - 1, -1]].T
+        numbers = [pa.array(x, mask=none) for x in sums]
+        return pa.StructArray.from_arrays([pa.array(rank, mask=none | (own < 0)), *numbers], names=["rank", "top", "shown", "mass"])
+
+    return F.arrow_udf(run, "rank int, top double, shown double, mass double")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsframe.functions import stats as S
-from obsframe.functions.special import top_products
+from obsframe.functions.special import place_of_product, top_products
 
 MAX_CODES = 1000
 
@@ -202,15 +202,19 @@ def family_violations(ranking: DataFrame, dim: DataFrame, keys) -> DataFrame:
     )
 
 
-def outcomes(df: DataFrame, source: str, actual: str, ranked: str = "ranked", keys=("entity_id", "obs_date"), shown: int = 20) -> DataFrame:
-    """Rank and reciprocal rank of the actual in each ranking, and probabilities of the first and the ``shown`` first."""
-    rank = F.nullif(F.array_position(F.transform(ranked, lambda c: c["code"]), F.col(actual)), F.lit(0))
-    return df.select(
-        F.lit(source).alias("source_type"), F.col(keys[0]).alias("group_id"), F.col(keys[1]).alias("target_date"),
-        F.col(actual).alias("actual"), rank.cast("int").alias("actual_rank"),
-        F.coalesce(1.0 / rank, F.lit(0.0)).alias("reciprocal_rank"),
-        (-F.get(ranked, F.lit(0))["m"] / F.col(f"{ranked}_mass")).alias("top_prob"),
-        (_mass(F.slice(ranked, 1, shown)) / F.col(f"{ranked}_mass")).alias("cum_prob"),
+def outcomes(df: DataFrame, rankings, keys=("entity_id", "obs_date"), shown: int = 20) -> DataFrame:
+    """Rank and reciprocal rank of the actual in each ranking, and probabilities of the first and the ``shown`` first.
+
+    ``rankings``: (source, column of the actual code, probability columns, candidates) each. All candidates are
+    scored and put in order, but a row carries only the four numbers that its outcome needs.
+    """
+    places = [place_of_product([c for c, _ in candidates], shown)(F.col(actual), *[F.col(p) for p in probs]) for _, actual, probs, candidates in rankings]
+    step = df.select(*keys, *dict.fromkeys(actual for _, actual, _, _ in rankings), *[x.alias(f"_o{i}") for i, x in enumerate(places)])
+    rows = [F.struct(F.lit(source).alias("source_type"), F.col(actual).alias("actual"), F.col(f"_o{i}").alias("o")) for i, (source, actual, _, _) in enumerate(rankings)]
+    return step.select(*keys, F.inline(F.array(*rows))).select(
+        "source_type", F.col(keys[0]).alias("group_id"), F.col(keys[1]).alias("target_date"), "actual",
+        F.col("o.rank").alias("actual_rank"), F.coalesce(1.0 / F.col("o.rank"), F.lit(0.0)).alias("reciprocal_rank"),
+        (F.col("o.top") / F.col("o.mass")).alias("top_prob"), (F.col("o.shown") / F.col("o.mass")).alias("cum_prob"),
     ).withColumn("bucket", rank_bucket(F.col("actual_rank")))
 
 

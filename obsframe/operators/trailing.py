@@ -90,6 +90,18 @@ def running(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def series_starts(columns: list[pa.Array], key: list | None) -> np.ndarray:
+    """Which rows have another key than the row before them; ``key`` is that of the row before the first."""
+    m = len(columns[0])
+    new = np.zeros(m, dtype=bool)
+    new[0] = key != [c[0].as_py() for c in columns]
+    for c in columns:
+        a, b = c.slice(1), c.slice(0, m - 1)
+        same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(a.is_null(), b.is_null()))
+        new[1:] |= ~same.to_numpy(zero_copy_only=False)
+    return new
+
+
 def trails(batches: Iterator[pa.RecordBatch], keys, longest: int) -> Iterator[tuple[pa.RecordBatch, Trail]]:
     """Batches of rows sorted by series and date, each with what lies before its rows.
 
@@ -101,13 +113,8 @@ def trails(batches: Iterator[pa.RecordBatch], keys, longest: int) -> Iterator[tu
         if m == 0:
             continue
         columns = [batch.column(k) for k in keys]
-        goes_on = key == [c[0].as_py() for c in columns]
-        new = np.zeros(m, dtype=bool)
-        new[0] = not goes_on
-        for c in columns:
-            a, b = c.slice(1), c.slice(0, m - 1)
-            same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(a.is_null(), b.is_null()))
-            new[1:] |= ~same.to_numpy(zero_copy_only=False)
+        new = series_starts(columns, key)
+        goes_on = not new[0]
         if not goes_on:
             tail, rn, seen = tail[:0], 0, np.zeros(L.DIGITS, np.int64)
         values = np.concatenate([tail, pc.fill_null(batch.column("value").cast(pa.int64()), -1).to_numpy(zero_copy_only=False)])
@@ -146,3 +153,70 @@ def over_series(long: DataFrame, make: Callable[[Trail], dict[str, pa.Array]], t
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(form(columns[n]) if n in arrays else columns[n] for n in types)], names=[*keep, *types])
 
     return rows.mapInArrow(worked, schema)
+
+
+class Steps:
+    """Counts of the steps of one digit column from its last value, before each row, over batches of sorted rows."""
+
+    def __init__(self):
+        self.restart()
+
+    def restart(self) -> None:
+        self.last, self.counts = -1, np.zeros((L.DIGITS, L.DIGITS), np.int64)
+
+    def before(self, values: np.ndarray, series: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, counts): the rows that have a value before them, and how often each digit had followed that value before.
+
+        ``series`` numbers the series of the rows from 0, which is the one that goes on from the batch
+        before. What is no digit is no row here.
+        """
+        at = np.flatnonzero((values >= 0) & (values < L.DIGITS))
+        x, s = values[at], series[at]
+        last = np.concatenate([[self.last], x[:-1]])[: len(x)]
+        last[np.concatenate([[s[0] != 0], s[1:] != s[:-1]]) if len(s) else []] = -1
+        known = np.flatnonzero(last >= 0)
+        group = s[known] * L.DIGITS + last[known]
+        order = known[np.argsort(group, kind="stable")]
+        group = s[order] * L.DIGITS + last[order]
+        sums = running((x[order][:, None] == np.arange(L.DIGITS)).astype(np.int64))
+        first = np.maximum.accumulate(np.where(np.concatenate([[True], group[1:] != group[:-1]])[: len(group)], np.arange(len(group)), 0)) if len(group) else group
+        counts = sums[: len(group)] - sums[first]
+        counts += np.where((s[order] == 0)[:, None], self.counts[last[order]], 0)
+        if series[-1] != 0:
+            self.restart()
+        own = known[s[known] == series[-1]]
+        self.counts = self.counts + np.bincount(last[own] * L.DIGITS + x[own], minlength=L.DIGITS**2).reshape(L.DIGITS, L.DIGITS)
+        if len(s) and s[-1] == series[-1]:
+            self.last = x[-1]
+        return at[order], counts
+
+
+def step_probabilities(df: DataFrame, columns: dict[str, str], smoothing: float = 1.0, keep=(), parts: int | None = None, key: str = "entity_id", date: str = "obs_date") -> DataFrame:
+    """Smoothed probabilities of the next value of each digit column, from the steps of its series strictly before the row.
+
+    ``columns`` names the result of each digit column: ten probabilities, null where no value is before
+    the row; rows without any are left out. One pass over the rows of a key in order, which move once.
+    """
+    used = list(dict.fromkeys([key, date, *columns, *keep]))
+    rows = df.select(*used).repartition(*([parts] if parts else []), key).sortWithinPartitions(key, date)
+    schema = T.StructType([*(T.StructField(k, df.schema[k].dataType) for k in (key, date, *keep)), *(T.StructField(n, T.ArrayType(T.DoubleType())) for n in columns.values())])
+
+    def worked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, steps = None, {c: Steps() for c in columns}
+        for batch in batches:
+            m = batch.num_rows
+            if m == 0:
+                continue
+            series = np.cumsum(series_starts([batch.column(key)], before))
+            before, some, out = [batch.column(key)[m - 1].as_py()], np.zeros(m, bool), []
+            offsets = pa.array(np.arange(0, m * L.DIGITS + 1, L.DIGITS, dtype=np.int32))
+            for c in columns:
+                at, counts = steps[c].before(pc.fill_null(batch.column(c).cast(pa.int64()), -1).to_numpy(zero_copy_only=False), series)
+                probs, none = np.zeros((m, L.DIGITS)), np.ones(m, bool)
+                probs[at] = (counts + smoothing) / (counts.sum(axis=1, keepdims=True) + smoothing * L.DIGITS)
+                none[at], some[at] = False, True
+                out.append(pa.ListArray.from_arrays(offsets, pa.array(probs.ravel()), mask=pa.array(none)))
+            made = pa.RecordBatch.from_arrays([*(batch.column(k) for k in (key, date, *keep)), *out], names=schema.names)
+            yield made.filter(pa.array(some))
+
+    return rows.mapInArrow(worked, schema)

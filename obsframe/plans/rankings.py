@@ -11,6 +11,7 @@ from obsframe.operators import aggregates as A
 from obsframe.operators import evaluation as E
 from obsframe.operators import probabilities as P
 from obsframe.operators import ranking as K
+from obsframe.operators import trailing as TR_
 from obsframe.operators import windows as W
 from obsframe.plans.catalog import day, doubles, per_digit, q, r, register
 from obsframe.plans.features import S, back
@@ -46,17 +47,12 @@ def both_models(t):
 def predictions(t, positions=L.POSITIONS):
     """One row per target with the probability array of each position.
 
-    One explicit partitioning serves the regrouping and the join. Scoring
+    One explicit partitioning by entity serves the probabilities of all positions. Scoring
     candidates costs far more per byte than the shuffle, so the partitions must
     not be coalesced by size.
     """
     parts = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
-    long = t.long.where(F.col("position").isin(list(positions)))
-    rows = P.markov_rows(long).drop("model", "target").repartition(parts, *ID)
-    wide = rows.groupBy(*ID).agg(
-        *[F.first(F.when(F.col("position") == p, F.col("probs")), ignorenulls=True).alias(f"q{p[1]}") for p in positions]
-    )
-    return wide.join(t.obs.select(*ID, "head", "pair", "tail"), list(ID))
+    return TR_.step_probabilities(t.obs, {p: f"q{p[1]}" for p in positions}, keep=("head", "pair", "tail"), parts=parts)
 
 
 def pair_ranks(t, k=DEPTH):
@@ -70,9 +66,7 @@ def tail_ranks(t, k=DEPTH):
 def outcome_rows(t):
     """Outcomes of the two-digit and the three-digit rankings of every target."""
     wide = predictions(t, ("p4", "p5", "p6", "p7", "p8"))
-    pair = K.outcomes(K.rank_codes(wide, ["q4", "q5"], PAIRS, len(PAIRS)), "pair", "pair", shown=DEPTH)
-    tail = K.outcomes(K.rank_codes(wide, ["q6", "q7", "q8"], TAILS, len(TAILS)), "tail", "tail", shown=DEPTH)
-    return pair.unionByName(tail)
+    return K.outcomes(wide, [("pair", "pair", ["q4", "q5"], PAIRS), ("tail", "tail", ["q6", "q7", "q8"], TAILS)], shown=DEPTH)
 
 
 def kept_outcomes(t):
@@ -422,7 +416,7 @@ register("o11_feature_drift", lambda t: E.data_drift(feature_values(t), 28), q(D
 
 
 def pair_outcomes(t):
-    return K.outcomes(pair_ranks(t, len(PAIRS)), "pair", "pair", shown=DEPTH)
+    return K.outcomes(predictions(t, ("p4", "p5")), [("pair", "pair", ["q4", "q5"], PAIRS)], shown=DEPTH)
 
 
 OCP = f"oc AS (SELECT *, {BUCKET} AS bucket FROM ({oc('pr', 'pair')}))"

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from obsframe import layout as L
+from obsframe.operators import hidden_markov as HM
 from obsframe.operators.evaluation import evaluate
 from obsframe.operators.scans import history
 from obsframe.session import cut_lineage
@@ -205,21 +206,13 @@ def forward_backward(x, start, trans, emit):
 
 
 def expectation(params, by: str = "position"):
-    """mapInPandas E-step: expected counts summed over the sequences of a batch."""
-    start, trans, emit = params
+    """mapInPandas E-step: expected counts summed over the sequences of a batch, worked out in matrices of many sequences."""
+    model = HM.Model(*params)
 
     def run(batches):
         for pdf in batches:
             for key, group in pdf.groupby(by):
-                s, a, e, ll, n = np.zeros_like(start), np.zeros_like(trans), np.zeros_like(emit), 0.0, 0
-                for symbols in group["symbols"]:
-                    x = np.asarray(symbols, dtype=int)
-                    post, moves, loss = forward_backward(x, start, trans, emit)
-                    s += post[0]
-                    a += moves
-                    np.add.at(e.T, x, post)
-                    ll, n = ll + loss, n + len(x)
-                flat = np.concatenate([s, a.ravel(), e.ravel(), [ll, n]])
+                flat = HM.group_sums(model, [np.asarray(symbols, dtype=int) for symbols in group["symbols"]])
                 yield pd.DataFrame({by: key, "i": np.arange(len(flat)), "v": flat})
 
     return run
@@ -247,22 +240,19 @@ def fit_hmm(sequences: DataFrame, states: int = 10, iterations: int = 25, tolera
 
 
 def score_hmm(sequences: DataFrame, params, keys=("entity_id", "position")) -> DataFrame:
-    """Log likelihood, Viterbi end state and next-symbol probabilities per series."""
-    start, trans, emit = params
+    """Log likelihood, Viterbi end state and next-symbol probabilities per series, in matrices of many series."""
+    model = HM.Model(*params)
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                x = np.asarray(row.symbols, dtype=int)
-                post, _, loss = forward_backward(x, start, trans, emit)
-                path = np.log(start) + np.log(emit[:, x[0]])
-                for v in x[1:]:
-                    path = (path[:, None] + np.log(trans)).max(axis=0) + np.log(emit[:, v])
-                out.append((float(loss), int(path.argmax()), (post[-1] @ trans @ emit).tolist()))
-            yield pdf[list(keys)].assign(
-                log_likelihood=[o[0] for o in out], last_state=[o[1] for o in out], probs=[o[2] for o in out]
-            )
+            series = [np.asarray(symbols, dtype=int) for symbols in pdf["symbols"]]
+            losses, states, probs = np.zeros(len(series)), np.zeros(len(series), np.int32), np.zeros((len(series), L.DIGITS))
+            for places, x, lengths in HM.matrices(series):
+                _, posterior, _, losses[places] = HM.smoothed_states(model, x, lengths)
+                last = np.arange(len(places)), lengths - 1
+                states[places] = HM.best_paths(model, x, lengths)[last]
+                probs[places] = posterior[last] @ model.moves @ model.emits
+            yield pdf[list(keys)].assign(log_likelihood=losses, last_state=states, probs=list(probs))
 
     fields = [sequences.schema[k] for k in keys]
     schema = T.StructType([*fields, T.StructField("log_likelihood", T.DoubleType()), T.StructField("last_state", T.IntegerType()),

@@ -220,7 +220,7 @@ def expectation(params, by: str = "position"):
 
 def fit_hmm(sequences: DataFrame, states: int = 10, iterations: int = 25, tolerance: float = 1e-6,
             smoothing: float = 1.0, seed: int = 29):
-    """Baum–Welch over all sequences; the driver sees only the summed counts.
+    """Baum–Welch over all sequences, until the log likelihood changes by ``tolerance`` at most; the driver sees only the summed counts.
 
     Sequences are checkpointed once, so each round reads them back instead of
     recomputing them.
@@ -234,7 +234,7 @@ def fit_hmm(sequences: DataFrame, states: int = 10, iterations: int = 25, tolera
         norm = lambda m: (m + smoothing) / (m + smoothing).sum(axis=-1, keepdims=True)
         params = norm(s), norm(a.reshape(states, states)), norm(e.reshape(states, L.DIGITS))
         history_.append(float(flat[-2]))
-        if len(history_) > 1 and abs(history_[-1] - history_[-2]) < tolerance * abs(history_[-2]):
+        if len(history_) > 1 and abs(history_[-1] - history_[-2]) <= tolerance:
             break
     return params, history_
 

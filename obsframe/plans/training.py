@@ -68,7 +68,7 @@ register(
 
 def hidden(t):
     seqs = M.digit_sequences(t.long)
-    params, _ = M.fit_hmm(seqs, states=4, iterations=3)
+    params, _ = M.fit_hmm(seqs)
     return M.score_hmm(seqs, params)
 
 

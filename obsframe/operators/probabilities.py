@@ -187,14 +187,20 @@ def credible_intervals(posterior: DataFrame, keys, level: float = 0.95) -> DataF
 
 def ensemble_weights(evaluations: DataFrame, method: str = "equal", keys=()) -> DataFrame:
     """Model weights: equal, inverse log loss, or softmax of accuracy or −log loss."""
+    return weights_by_method(evaluations, (method,), keys).drop("method")
+
+
+def weights_by_method(evaluations: DataFrame, methods, keys=()) -> DataFrame:
+    """Model weights of each method, from one pass over the evaluations."""
     raw = {
         "equal": F.lit(1.0),
         "inverse_log_loss": 1.0 / F.greatest(F.col("log_loss"), F.lit(1e-12)),
         "accuracy_softmax": F.exp(F.col("accuracy")),
         "log_loss_softmax": F.exp(-F.col("log_loss")),
-    }[method]
-    out = evaluations.select(*keys, "model", raw.alias("raw"))
-    return out.withColumn("weight", F.col("raw") / F.sum("raw").over(Window.partitionBy(*keys))).drop("raw")
+    }
+    each = F.array(*[F.struct(F.lit(m).alias("method"), raw[m].alias("raw")) for m in methods])
+    out = evaluations.select(*keys, "model", F.inline(each))
+    return out.withColumn("weight", F.col("raw") / F.sum("raw").over(Window.partitionBy(*keys, "method"))).select(*keys, "model", "weight", "method")
 
 
 def blend(rows: DataFrame, weights: DataFrame, name: str, keys=SERIES) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from obsframe import layout as L
 from obsframe.functions import stats as S
 from obsframe.functions.special import place_of_product, top_products
+from obsframe.operators.probabilities import model_names
 from obsframe.operators.selection import code_shares, matrix
 
 MAX_CODES = 1000
@@ -281,8 +282,20 @@ def explain(df: DataFrame, keys, probs: str = "probs", top_k: int = 10) -> DataF
 def contributions(rows: DataFrame, weights: DataFrame, keys) -> DataFrame:
     """Each model's share of the blended probability of the top symbol.
 
-    The list gathered per observation has one entry per model.
+    The weights are one row per model. Rows of ``model_rows`` are worked out as they are, and nothing of them moves; those
+    of one observation each are gathered otherwise, one entry per model.
     """
+    names = model_names(rows)
+    if names:
+        own = [F.sum(F.when(F.col("model") == m, F.col("weight"))).alias(f"_w{i}") for i, m in enumerate(names)]
+        wide = weights.where(F.col("model").isin(names) & F.col("weight").isNotNull()).agg(*own)
+        known = F.coalesce(*[F.col(f"_w{i}") for i in range(len(names))]).isNotNull()
+        part = lambda i, m, d: F.coalesce(F.col(f"_w{i}"), F.lit(0.0)) * F.col("models")[m][d]
+        totals = [sum((part(i, m, d) for i, m in enumerate(names[1:], 1)), part(0, names[0], d)) for d in range(L.DIGITS)]
+        step = rows.join(F.broadcast(wide.where(known))).withColumn("t", F.array(*totals)).withColumn("symbol", S.argmax(F.col("t")))
+        entries = [F.struct(F.lit(m).alias("model"), (F.col(f"_w{i}") * F.get(F.col("models")[m], F.col("symbol"))).alias("contribution")) for i, m in enumerate(names)]
+        out = step.select(*keys, "symbol", F.get("t", F.col("symbol")).alias("_top"), F.inline(F.array(*entries))).where(F.col("contribution").isNotNull())
+        return out.select(*keys, "model", "symbol", "contribution", S.ratio(F.col("contribution"), F.col("_top"), 0.0).alias("contribution_share"))
     weighted = rows.join(F.broadcast(weights), "model").withColumn(
         "w", F.array(*[F.col("probs")[d] * F.col("weight") for d in range(10)])
     )

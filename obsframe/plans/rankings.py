@@ -1,9 +1,5 @@
 """Probability models, rankings, evaluation and drift (G, N, O, count-based P)."""
 
-
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from obsframe import layout as L
@@ -196,7 +192,7 @@ EVM = "em AS (SELECT model, avg(ll) AS log_loss, avg((better = 0)::INTEGER) AS a
 WT = {"equal": "1.0", "inverse_log_loss": "1.0 / log_loss", "accuracy_softmax": "exp(accuracy)", "log_loss_softmax": "exp(-log_loss)"}
 register(
     "p14_ensemble_weights",
-    lambda t: reduce(DataFrame.unionByName, [weights(t, m).withColumn("method", F.lit(m)) for m in WT]),
+    lambda t: P.weights_by_method(E.evaluate(both_models(t), ["model"]), WT),
     q(" UNION ALL ".join(f"SELECT model, '{m}' AS method, {r(f'{e} / sum({e}) OVER ()', 'weight')} FROM em" for m, e in WT.items()), MK, F0, SC, EVM),
 )
 BL = f"""bl AS (SELECT entity_id, position, obs_date, any_value(target) AS target, {per_digit('(sum(weight * probs[{d} + 1]))')} AS raw FROM bm JOIN (SELECT model, (1.0 / log_loss) / sum(1.0 / log_loss) OVER () AS weight FROM em) USING (model) GROUP BY 1, 2, 3),
@@ -292,7 +288,7 @@ CON = f"""ct AS (SELECT b.*, w.weight FROM bm b JOIN (SELECT model, 0.5::DOUBLE
 tt AS (SELECT entity_id, position, obs_date, {per_digit('(sum(weight * probs[{d} + 1] ORDER BY model DESC))')} AS t FROM ct GROUP BY 1, 2, 3)"""
 register(
     "n07_model_contributions",
-    lambda t: K.contributions(both_models(t), weights(t, "equal"), ["entity_id", "position", "obs_date"]).groupBy("model", "position").agg(F.count("*").alias("n"), F.avg("contribution_share").alias("mean_share")),
+    lambda t: K.contributions(both_beside(t), weights(t, "equal"), ["entity_id", "position", "obs_date"]).groupBy("model", "position").agg(F.count("*").alias("n"), F.avg("contribution_share").alias("mean_share")),
     q(f"SELECT c.model, c.position, count(*) AS n, {r('avg(weight * probs[list_position(t, list_max(t))] / list_max(t))', 'mean_share')} FROM ct c JOIN tt USING (entity_id, position, obs_date) GROUP BY 1, 2", MK, F0, SC, EVM, CON),
 )
 HEADS = codes_cte("hr", ("q1", "q2", "q3"), 3, True)
